@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweft.llm import bpe, extraction, mixing, toxicity
+from docweft.llm import bpe, extraction, mixing, quality, toxicity
 
 OP6_SQL = r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -24,5 +24,5 @@ FROM r
 """
 
 
-QUERIES = {"op1_html_extraction": extraction.op1, "op4_toxicity": toxicity.op4, "op6_mix_sources": mixing.op6, "op9_bpe": bpe.op9}
+QUERIES = {"op1_html_extraction": extraction.op1, "op4_toxicity": toxicity.op4, "op6_mix_sources": mixing.op6, "op7_quality_rules": quality.op7, "op9_bpe": bpe.op9}
 ORACLE_SQL = {"op6_mix_sources": OP6_SQL}
