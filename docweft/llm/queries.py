@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweft.llm import bpe, extraction, mixing, quality, toxicity
+from docweft.llm import bpe, extraction, mixing, quality, topk, toxicity
 
 OP6_SQL = r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -23,6 +23,15 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
+OP3_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(q.v, e.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM e q JOIN e ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id AND len(q.v) = len(e.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
-QUERIES = {"op1_html_extraction": extraction.op1, "op4_toxicity": toxicity.op4, "op6_mix_sources": mixing.op6, "op7_quality_rules": quality.op7, "op9_bpe": bpe.op9}
-ORACLE_SQL = {"op6_mix_sources": OP6_SQL}
+QUERIES = {"op1_html_extraction": extraction.op1, "op3_topk": topk.op3, "op4_toxicity": toxicity.op4, "op6_mix_sources": mixing.op6, "op7_quality_rules": quality.op7, "op9_bpe": bpe.op9}
+ORACLE_SQL = {"op3_topk": OP3_SQL, "op6_mix_sources": OP6_SQL}
