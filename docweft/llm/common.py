@@ -42,3 +42,12 @@ def n_words(text: Column) -> Column:
 def tasks(spark: SparkSession) -> int:
     """How many tasks a shuffle of this session has; the session's owner sets it to suit the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A table of ids of up to so many rows (some 50 MB in memory) is sent to all tasks; a larger one is joined by shuffles.
+SMALL = 1_000_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, to be broadcast in joins if it has at most `most` rows. Only for tables that are cut and have few narrow columns."""
+    return F.broadcast(df) if df.count() <= most else df

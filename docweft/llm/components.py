@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +43,27 @@ def components(edges: DataFrame) -> DataFrame:
         before = (now["n"], now["s"])
         edges = cut(small_star(cut(large_star(edges).distinct())).distinct())
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def connected(members: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, component) of the verified links among the members of each band. members: band, id, leader (the band's least id).
+
+    verified takes pairs (u, v) and returns those that are links. Not all pairs of a band are made. First each id is compared
+    with the least of its bands' leaders, then with those leaders that are still in other components, then with what else is in
+    another component. A pair that is never compared lies in one component already, so components come out the same.
+    """
+    links = cut(verified(members.filter("id <> leader").groupBy("id").agg(F.min("leader").alias("v")).select(F.col("id").alias("u"), "v")))
+
+    def placed() -> DataFrame:
+        return members.join(cut(components(links)), "id", "left").withColumn("at", F.coalesce("component", "id")).drop("component")
+
+    at = cut(placed())
+    leaders = at.filter("id = leader").select("band", F.col("at").alias("leads"))
+    pairs = cut(at.join(leaders, "band").filter(F.col("at") != F.col("leads")).select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct())
+    links = links.union(cut(verified(pairs)))
+    at = placed()
+    apart = at.groupBy("band").agg(F.min("at").alias("a"), F.max("at").alias("b")).filter("a < b").select("band")
+    mixed = cut(at.join(apart, "band").select("band", "id", "at"))
+    other = mixed.select("band", F.col("id").alias("v"), F.col("at").alias("v_at"))
+    pairs = cut(mixed.join(other, "band").filter("id > v and at <> v_at").select(F.col("id").alias("u"), "v").distinct())
+    return cut(components(links.union(cut(verified(pairs)))))

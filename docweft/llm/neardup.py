@@ -1,9 +1,7 @@
 """Near-duplicate documents: MinHash signatures, banding, signature checks, exact checks on whole shingle sets, components.
 
 Documents with equal shingle sets form one class, of which the smallest id goes on; so copies, however many, meet only in
-sums. Classes that share a band are candidates. Not all pairs of a band are compared: first each class with the smallest
-class of its bands, then the members of each band with its smallest, then only what still lies in different components.
-What is left out in the end are pairs that are connected already, so no component is lost.
+sums. Classes that share a band are candidates; which of them are compared, components.connected says.
 """
 
 from __future__ import annotations
@@ -20,7 +18,7 @@ from pyspark.sql.types import DoubleType
 
 from docweft.llm import bytehash as bh
 from docweft.llm.common import cut, table
-from docweft.llm.components import components
+from docweft.llm.components import connected
 
 BANDS, ROWS = 30, 5
 _rng = np.random.default_rng(5)
@@ -135,29 +133,7 @@ def classes_of(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 10
     sig = cut(reps.select("id", "sig").join(involved, "id", "left_semi").dropDuplicates(["id"]))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(involved, "id", "left_semi")
     full = cut(sets(texts, width))
-    # An id with rows of different texts has one set each in `full`; links are then links of any of them.
-    links = None
-
-    def linked(pairs: DataFrame) -> None:
-        nonlocal links
-        new = cut(verified(pairs, sig, full, share))
-        links = new if links is None else links.union(new)
-
-    def placed(links: DataFrame) -> DataFrame:
-        """members with the component that each is in so far."""
-        found = cut(components(links))
-        return members.join(found, "id", "left").withColumn("at", F.coalesce("component", "id")).drop("component"), found
-
-    linked(members.filter("id <> leader").groupBy("id").agg(F.min("leader").alias("v")).select(F.col("id").alias("u"), "v"))
-    at, found = placed(links)
-    leaders = at.filter("id = leader").select("band", F.col("at").alias("leads"))
-    linked(cut(at.join(leaders, "band").filter(F.col("at") != F.col("leads")).select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()))
-    at, found = placed(links)
-    apart = at.groupBy("band").agg(F.min("at").alias("a"), F.max("at").alias("b")).filter("a < b").select("band")
-    open_bands = cut(at.join(apart, "band").select("band", "id", "at"))
-    other = open_bands.select("band", F.col("id").alias("v"), F.col("at").alias("v_at"))
-    linked(cut(open_bands.join(other, "band").filter("id > v and at <> v_at").select(F.col("id").alias("u"), "v").distinct()))
-    found = cut(components(links))
+    found = connected(members, lambda pairs: verified(pairs, sig, full, share))
     of_group = groups.join(found, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
     placed_rows = rows.select("doc_id", "n", "f1", "f2").join(of_group, ["f1", "f2", "n"], "left")
     return placed_rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

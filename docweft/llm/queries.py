@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweft.llm import bpe, extraction, mixing, neardup, quality, substrings, suffixes, topk, toxicity
+from docweft.llm import bpe, extraction, lines, mixing, neardup, quality, substrings, suffixes, topk, toxicity
 
 OP6_SQL = r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -33,5 +33,5 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {"op1_html_extraction": extraction.op1, "op3_topk": topk.op3, "op4_toxicity": toxicity.op4, "op5_minhash_near_dedup": neardup.op5, "op6_mix_sources": mixing.op6, "op7_quality_rules": quality.op7, "op8_suffix_dedup": suffixes.op8, "op9_bpe": bpe.op9, "op10_substring_dedup": substrings.op10}
+QUERIES = {"op1_html_extraction": extraction.op1, "op2_line_dedup": lines.op2, "op3_topk": topk.op3, "op4_toxicity": toxicity.op4, "op5_minhash_near_dedup": neardup.op5, "op6_mix_sources": mixing.op6, "op7_quality_rules": quality.op7, "op8_suffix_dedup": suffixes.op8, "op9_bpe": bpe.op9, "op10_substring_dedup": substrings.op10}
 ORACLE_SQL = {"op3_topk": OP3_SQL, "op6_mix_sources": OP6_SQL}
