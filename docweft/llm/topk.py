@@ -2,11 +2,11 @@
 
 The dimensions are dealt into m lists; an entry of a list is a vector's partial score over the list's dimensions, and a
 vector's score is the sum of its entries in all lists.
-1. Each list gives its k best entries for each query; with the least entry of each list standing in for what is not
-   known, the k best sums so far give a lower bound of the k-th best score, and that over m is the query's cutoff.
+1. Each list gives its k best entries for each query. The k-th best score among these vectors is a bound that the k best
+   reach; that over m is the query's cutoff.
 2. With the cutoff joined to the queries, each list gives all its entries that reach it. A vector none of whose entries does
-   cannot be among the k best. Known entries, with the cutoff in place of the others, bound each vector from above and,
-   with the lists' least entries, from below: what cannot reach the k-th best lower bound goes.
+   cannot be among the k best. A vector's known entries, with the cutoff in place of the others, bound its score: what cannot
+   reach the bound goes.
 3. What is left is scored exactly.
 
 Equal vectors score alike, so lists hold each different vector once, with its smallest ids. Queries against vectors run
@@ -99,26 +99,24 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, lists: int = 2) -
             for j, (a, b) in enumerate(_ranges(v.shape[1], lists)):
                 s = q[:, a:b] @ v[:, a:b].T
                 best = np.argpartition(-s, k1 - 1, axis=1)[:, :k1] if k1 < len(vk) else np.broadcast_to(np.arange(len(vk)), s.shape)
-                out.append(pd.DataFrame({"q": np.repeat(qk, best.shape[1]), "j": j, "key": vk[best].ravel(), "s": np.take_along_axis(s, best, 1).ravel().astype(np.int64), "lowest": np.repeat(s.min(1), best.shape[1]).astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "j": [], "key": [], "s": [], "lowest": []}).astype(np.int64)
-
-    local = cut(_grid(query_blocks, m, vector_blocks, n, first, "q long, j long, key long, s long, lowest long"))
-    top = local.withColumn("r", F.row_number().over(Window.partitionBy("q", "j").orderBy(F.desc("s"), "key"))).filter(F.col("r") <= k1)
-    least = local.groupBy("q").pivot("j", list(range(lists))).agg(F.min("lowest")).select("q", F.array(*[F.col(str(j)) for j in range(lists)]).alias("least"))
+                out.append(pd.DataFrame({"q": np.repeat(qk, best.shape[1]), "j": j, "key": vk[best].ravel(), "s": np.take_along_axis(s, best, 1).ravel().astype(np.int64)}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "j": [], "key": [], "s": []}).astype(np.int64)
 
-    def with_bounds(entries: DataFrame) -> DataFrame:
-        entries = entries.join(least, "q").withColumn("floor", F.get("least", F.col("j").cast("int"))).withColumn("all_floor", F.aggregate(F.filter("least", lambda x: x.isNotNull()), F.lit(0).cast("long"), lambda a, x: a + x))
-        known = entries.groupBy("q", "key").agg(F.sum("s").alias("sum"), F.count("*").alias("known"), F.sum("floor").alias("floor"), F.first("all_floor").alias("all_floor"), F.first(F.size(F.filter("least", lambda x: x.isNotNull()))).alias("m"))
-        return known.withColumn("low", F.col("sum") + F.col("all_floor") - F.col("floor"))
+    local = _grid(query_blocks, m, vector_blocks, n, first, "q long, j long, key long, s long")
+    top = local.withColumn("r", F.row_number().over(Window.partitionBy("q", "j").orderBy(F.desc("s"), "key"))).filter(F.col("r") <= k1).select("q", "key").distinct()
+    side = asked.select(F.col("key").alias("q"), F.col("v").alias("qv"))
 
-    def kth_best(known: DataFrame) -> DataFrame:
-        """(q, bound): the k-th best lower bound, -2**62 where there are fewer vectors (then every vector may be needed)."""
-        ranked = known.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low"), "key"))).filter(F.col("r") <= k1)
-        return ranked.groupBy("q").agg(F.when(F.count("*") == k1, F.min("low")).otherwise(F.lit(-(1 << 62)).cast("long")).alias("bound"), F.first("m").alias("m"))
+    def scored(pairs: DataFrame, *more: str) -> DataFrame:
+        """Pairs (q, key) with their exact scores."""
+        both = pairs.join(side, "q").join(classes.select("key", "v", *more), "key")
+        return both.select("q", F.least(F.lit(lists), F.size("qv")).alias("m"), *more, F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0).cast("long"), lambda a, x: a + x).alias("score"))
 
-    cutoff = cut(kth_best(with_bounds(top)).select("q", F.floor(F.col("bound") / F.col("m")).cast("long").alias("t")))
+    # The k-th best score among the lists' best is a bound that k vectors reach; with fewer of them, nothing is left out.
+    bound = scored(top).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("r") <= k1)
+    bound = bound.groupBy("q").agg(F.when(F.count("*") == k1, F.min("score")).otherwise(F.lit(-(1 << 62)).cast("long")).alias("bound"), F.first("m").alias("m"))
+    cutoff = cut(bound.withColumn("t", F.floor(F.col("bound") / F.col("m")).cast("long")))
     # Each query block gets the cutoffs of its own queries.
-    own = asked.select(block(m).alias("b"), F.size("v").alias("w"), F.col("key").alias("q")).join(cutoff, "q").groupBy("b", "w").agg(F.map_from_entries(F.collect_list(F.struct("q", "t"))).alias("cutoffs"))
+    own = asked.select(block(m).alias("b"), F.size("v").alias("w"), F.col("key").alias("q")).join(cutoff.select("q", "t"), "q").groupBy("b", "w").agg(F.map_from_entries(F.collect_list(F.struct("q", "t"))).alias("cutoffs"))
     armed = cut(query_blocks.join(own, ["b", "w"]))
 
     def second(qk, q, vk, v, cutoffs):
@@ -133,11 +131,9 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, lists: int = 2) -
         return pd.concat(out) if out else pd.DataFrame({"q": [], "j": [], "key": [], "s": []}).astype(np.int64)
 
     entries = _grid(armed, m, vector_blocks, n, second, "q long, j long, key long, s long", ("cutoffs",))
-    known = cut(with_bounds(entries).join(cutoff, "q").withColumn("high", F.col("sum") + (F.col("m") - F.col("known")) * (F.col("t") - 1)))
-    left = known.select("q", "key", "high").join(kth_best(known).select("q", "bound"), "q").filter(F.col("high") >= F.col("bound"))
-    left = left.select("q", "key")
-    exact = left.join(asked.select(F.col("key").alias("q"), F.col("v").alias("qv")), "q").join(classes.select("key", "v", "ids"), "key")
-    exact = exact.select("q", "ids", F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0).cast("long"), lambda a, x: a + x).alias("score"))
+    known = entries.groupBy("q", "key").agg(F.sum("s").alias("sum"), F.count("*").alias("known")).join(cutoff, "q")
+    left = known.filter(F.col("sum") + (F.col("m") - F.col("known")) * (F.col("t") - 1) >= F.col("bound")).select("q", "key")
+    exact = scored(left, "ids")
     # Of each query vector the k + 1 best ids; then each query leaves out its own.
     best = exact.select("q", "score", F.explode("ids").alias("vec_id")).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k1)
     each = queries.join(asked.withColumnRenamed("key", "q"), "v").select(F.col("id").alias("query_id"), "q").join(cut(best.drop("r")), "q").filter("vec_id <> query_id")
