@@ -38,6 +38,9 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+Encoded = tuple[str, str, int, list[int]]
+
+
 class Vocabulary:
     def __init__(self, text: str):
         spec = json.loads(text)
@@ -59,7 +62,7 @@ class Vocabulary:
         inner = byte_symbols()
         self.inner = [self.ids[s] for s in inner]
         self.last = [self.ids[s + self.suffix] for s in inner]
-        self.cache: dict[str, tuple[str, str, int]] = {}
+        self.cache: dict[str, Encoded] = {}
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word. `bounds` holds where its parts begin, `ids` the parts, `ranks` those of adjacent parts."""
@@ -104,21 +107,21 @@ class Vocabulary:
                 heapq.heappush(heap, (s, h))
         return [x for x in ids if x >= 0]
 
-    def word(self, word: str) -> tuple[str, str, int]:
-        """A word's ids and tokens, each joined by spaces, and how many there are."""
+    def word(self, word: str) -> Encoded:
+        """A word's ids and tokens, each joined by spaces, how many there are, and the ids."""
         ids = self.merge(word)
-        found = (" ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]), len(ids))
+        found = (" ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]), len(ids), ids)
         if len(self.cache) >= CACHE:
             self.cache.clear()
         self.cache[word] = found
         return found
 
-    def encode(self, text: str) -> list[tuple[str, str, int]]:
-        out: list[tuple[str, str, int]] = []
+    def encode(self, text: str) -> list[Encoded]:
+        out: list[Encoded] = []
         get, word = self.cache.get, self.word
         for part in self.cut.split(text) if "<|" in text else (text,):
             if (i := self.special.get(part)) is not None:
-                out.append((str(i), part, 1))
+                out.append((str(i), part, 1, [i]))
             elif part:
                 plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()  # sigma: each character by itself
                 out += [get(w) or word(w) for w in self.words.findall(plain)]
@@ -146,7 +149,7 @@ def encode(docs: DataFrame, vocabulary: str, decoded: bool = False) -> DataFrame
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 found = [voc.encode(t or "") for t in part.column("text").to_pylist()]
-                ids = pa.array([[int(i) for w in x for i in w[0].split(" ")] for x in found], pa.list_(pa.int32()))
+                ids = pa.array([[i for w in x for i in w[3]] for x in found], pa.list_(pa.int32()))
                 cols = [part.column("doc_id"), ids] + ([pa.array([" ".join([w[1] for w in x]) for x in found], pa.string())] if decoded else [])
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded"][: len(cols)])
 

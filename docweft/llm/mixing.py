@@ -90,5 +90,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int =
     return drawn.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
+def repeat(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, each as often as mix() takes it. Rows that repeat an id are taken as often as the one taken most."""
+    copies = mix(docs, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")).filter("_copies > 0")
+    both = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return both.withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(docs.columns)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -168,6 +168,19 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below the threshold."""
+    held = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.intercept))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*held.value)
+        for batch in batches:
+            for a, b, data, ends in bh.parts(batch.column("text")):
+                yield batch.slice(a, b - a).filter(pa.array(model.scores(bh.LOWER[data], ends) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
