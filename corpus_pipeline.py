@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each with the lines that no earlier line is like; n_chars follows the text."""
-    found = lines.dedup_lines(docs).drop("_n_lines", "_n_removed")
+    found = lines.dedup_lines(docs)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

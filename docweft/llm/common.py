@@ -44,6 +44,14 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: A table of ids of up to so many rows (some 50 MB in memory) is sent to all tasks; a larger one is joined by shuffles.
 SMALL = 1_000_000
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweft.llm.common import cut, n_words, table
+from docweft.llm.common import cut, fresh, n_words, table
 
 #: The rank axis of a source is cut into so many bins; only one bin of each source is ranked row by row.
 BINS = 4096
@@ -92,9 +92,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int =
 
 def repeat(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as mix() takes it. Rows that repeat an id are taken as often as the one taken most."""
-    copies = mix(docs, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    both = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    return both.withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(docs.columns)
+    key, times = fresh(docs, "of_doc"), fresh(docs, "times")
+    copies = mix(docs, **how).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(times)).filter(F.col(times) > 0)
+    both = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(key))).drop(key)
+    return both.select(*[F.col(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(key)).drop(key)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
