@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from docweft.plans import text
+
+FLAGSHIP = "semantic_chunks"
+_ALL: dict = {**text.QUERIES}
+QUERIES = {name: q[0] for name, q in _ALL.items()}
+ORACLE_SQL = {name: q[1] for name, q in _ALL.items() if q[1]}
