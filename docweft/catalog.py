@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docweft.plans import text
+from docweft.plans import search, text
 
-FLAGSHIP = "semantic_chunks"
-_ALL: dict = {**text.QUERIES}
+FLAGSHIP = "bm25_search"
+_ALL: dict = {**text.QUERIES, **search.QUERIES}
 QUERIES = {name: q[0] for name, q in _ALL.items()}
 ORACLE_SQL = {name: q[1] for name, q in _ALL.items() if q[1]}
