@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docweft.plans import runlog, search, text
+from docweft.plans import documents, runlog, search, text
 
 FLAGSHIP = "bm25_search"
-_ALL: dict = {**text.QUERIES, **search.QUERIES, **runlog.QUERIES}
+_ALL: dict = {**text.QUERIES, **search.QUERIES, **runlog.QUERIES, **documents.QUERIES}
 QUERIES = {name: q[0] for name, q in _ALL.items()}
 ORACLE_SQL = {name: q[1] for name, q in _ALL.items() if q[1]}
