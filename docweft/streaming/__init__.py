@@ -1 +1,99 @@
-"""docweft.streaming"""
+"""Structured Streaming forms of the run-log operators. Each one's batch twin in docweft.operators.runlog gives the reference result."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
+
+from docweft.operators import runlog
+
+
+def stamped(log: DataFrame) -> DataFrame:
+    """Watermarks need timestamps with a zone."""
+    return log.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def windowed_counts(log: DataFrame, width: str = "60 seconds", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Events by window and status. Rows more than `late` behind the newest one no longer count."""
+    window = F.window("ts", width, slide) if slide else F.window("ts", width)
+    counts = stamped(log).withWatermark("ts", late).groupBy(window.alias("w"), "status").agg(F.count("*").alias("n"))
+    return counts.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "status", "n")
+
+
+def exactly_once(log: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The first event with each id; ids are forgotten once they are `late` behind."""
+    return stamped(log).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+
+
+class RunState(StatefulProcessor):
+    """Folds a run's events into status, last event and counts; heartbeats don't change the status."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "status string, last_event long, completed long, failed long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        status, last, completed, failed = self.state.get() if self.state.exists() else ("unknown", -1, 0, 0)
+        for batch in rows:
+            batch = batch.sort_values("event_id")
+            completed += int((batch["status"] == "completed").sum())
+            failed += int((batch["status"] == "failed").sum())
+            told = batch[batch["status"] != "heartbeat"]
+            if len(told):
+                status = told["status"].iloc[-1]
+            last = max(last, int(batch["event_id"].max()))
+        self.state.update((status, last, completed, failed))
+        yield pd.DataFrame({"run_id": [key[0]], "status": [status], "last_event": [last], "completed": [completed], "failed": [failed]})
+
+    def close(self) -> None:
+        pass
+
+
+def run_states(log: DataFrame, schema: str | StructType = "run_id long, status string, last_event long, completed long, failed long") -> DataFrame:
+    """The state of each run after every micro-batch that has events of it."""
+    return log.select("run_id", "event_id", "status").groupBy("run_id").transformWithStateInPandas(statefulProcessor=RunState(), outputStructType=schema, outputMode="Update", timeMode="None")
+
+
+class Limiter(StatefulProcessor):
+    """Allows `most` requests of a client in any `millis`; refused ones don't count."""
+
+    def __init__(self, most: int, millis: int):
+        self.most, self.millis = most, millis
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [x[0] for x in self.held.get()]
+        batch = pd.concat(list(rows)).sort_values(["ms", "event_id"])
+        allowed = []
+        for ms in batch["ms"]:
+            held = [x for x in held if ms - x < self.millis]
+            allowed.append(len(held) < self.most)
+            if allowed[-1]:
+                held.append(ms)
+        self.held.put([(int(x),) for x in held])
+        yield pd.DataFrame({"client": batch["client"], "event_id": batch["event_id"], "allowed": allowed})
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limited(requests: DataFrame, most: int = 60, seconds: int = 60) -> DataFrame:
+    """client, event_id, allowed for requests (client, event_id, ts); only a client's allowed requests in the window are held."""
+    timed = requests.select("client", "event_id", runlog.millis("ts").alias("ms"))
+    return timed.groupBy("client").transformWithStateInPandas(statefulProcessor=Limiter(most, seconds * 1000), outputStructType="client long, event_id long, allowed boolean", outputMode="Append", timeMode="None")
+
+
+def ingest(docs: DataFrame, root: str):
+    """Runs new documents through blocks into a table below root, one micro-batch at a time; returns the started query."""
+    from docweft.operators import text
+
+    def store(batch: DataFrame, number: int) -> None:
+        text.blocks(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/blocks/batch={number}")
+
+    return docs.writeStream.foreachBatch(store).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
