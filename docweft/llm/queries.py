@@ -32,6 +32,26 @@ s AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(q.
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, shingle FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.id),
+m AS (SELECT id AS doc_id, min(c) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
+later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM later),
+each AS (SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM w),
+kept AS (SELECT e.doc_id, count(g.pos) AS n_removed, string_agg(e.word, ' ' ORDER BY e.pos) FILTER (g.pos IS NULL) AS text FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.pos = e.pos GROUP BY e.doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
 
 QUERIES = {"op1_html_extraction": extraction.op1, "op2_line_dedup": lines.op2, "op3_topk": topk.op3, "op4_toxicity": toxicity.op4, "op5_minhash_near_dedup": neardup.op5, "op6_mix_sources": mixing.op6, "op7_quality_rules": quality.op7, "op8_suffix_dedup": suffixes.op8, "op9_bpe": bpe.op9, "op10_substring_dedup": substrings.op10}
-ORACLE_SQL = {"op3_topk": OP3_SQL, "op6_mix_sources": OP6_SQL}
+ORACLE_SQL = {"op3_topk": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_mix_sources": OP6_SQL, "op10_substring_dedup": OP10_SQL}
