@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweft.llm.common import cut
 
 
 def _least(both: DataFrame) -> DataFrame:
-    """(u, m): the least of u and its neighbours. Written out, so that a hub's links can be split among tasks when joined."""
-    return cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+    """(u, m): the least of u and its neighbours; partial minima come first, so a hub's links are not gathered for it."""
+    return both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -24,46 +24,56 @@ def large_star(edges: DataFrame) -> DataFrame:
 def small_star(edges: DataFrame) -> DataFrame:
     """Each node links itself and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
-    return down.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.filter("u > m").select("u", F.col("m").alias("v")))
+    found = down.join(_least(down), "u")
+    return found.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v")
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node either is a centre or has one link, to a centre."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.filter("up > 1 or (up > 0 and down > 0)").limit(1).count()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): every linked id and the least id that it can reach. edges: u, v (long).
 
-    Null ends and loops are left out; repeated links count once; without links the result is empty. The steps end when
-    the links are the same before and after, which takes about the logarithm of the longest path.
+    Null ends and loops are left out; repeated links count once; without links the result is empty. The steps end when all
+    components are stars around their least id, after about the logarithm of the longest path.
     """
-    edges = cut(edges.select("u", "v").filter("u <> v").distinct())
-    before = None
-    while True:
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s")).first()
-        if (now["n"], now["s"]) == before or not now["n"]:
-            break
-        before = (now["n"], now["s"])
-        edges = cut(small_star(cut(large_star(edges).distinct())).distinct())
-    return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-
-
-def connected(members: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not _all_stars(edges):
+        edges = cut(small_star(large_star(edges)).distinct())
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def connected(members: DataFrame, verified: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(id, component) of the verified links among the members of each band. members: band, id, leader (the band's least id).
 
-    verified takes pairs (u, v) and returns those that are links. Not all pairs of a band are made. First each id is compared
-    with the least of its bands' leaders, then with those leaders that are still in other components, then with what else is in
-    another component. A pair that is never compared lies in one component already, so components come out the same.
+    verified takes pairs (u, v) and returns those that are links; near(a, b) tells from further columns of members (those of
+    the two sides come in structs a and b) whether a pair can be one. Not all pairs of a band are made. First each id is
+    compared with the least of its bands' leaders that it can be like, then with those leaders that are still in other components, then with what
+    else is in another component. A pair that is never compared lies in one component already, so components come out the same.
     """
-    links = cut(verified(members.filter("id <> leader").groupBy("id").agg(F.min("leader").alias("v")).select(F.col("id").alias("u"), "v")))
-
-    def placed() -> DataFrame:
-        return members.join(cut(components(links)), "id", "left").withColumn("at", F.coalesce("component", "id")).drop("component")
-
-    at = cut(placed())
-    leaders = at.filter("id = leader").select("band", F.col("at").alias("leads"))
-    pairs = cut(at.join(leaders, "band").filter(F.col("at") != F.col("leads")).select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct())
-    links = links.union(cut(verified(pairs)))
-    at = placed()
-    apart = at.groupBy("band").agg(F.min("at").alias("a"), F.max("at").alias("b")).filter("a < b").select("band")
-    mixed = cut(at.join(apart, "band").select("band", "id", "at"))
-    other = mixed.select("band", F.col("id").alias("v"), F.col("at").alias("v_at"))
-    pairs = cut(mixed.join(other, "band").filter("id > v and at <> v_at").select(F.col("id").alias("u"), "v").distinct())
-    return cut(components(links.union(cut(verified(pairs)))))
+    more = F.struct(*[c for c in members.columns if c not in ("band", "id", "leader")], F.lit(0).alias("_"))
+    can = near or (lambda a, b: F.lit(True))
+
+    def placed(found: DataFrame | None) -> DataFrame:
+        at = members.withColumn("at", F.col("id")) if found is None else members.join(found, "id", "left").withColumn("at", F.coalesce("component", "id"))
+        return at.select("band", "id", "leader", "at", more.alias("a"))
+
+    def to_leaders(at: DataFrame) -> DataFrame:
+        """Pairs of members with leaders of their bands that lie in other components."""
+        leaders = at.filter("id = leader").select(F.col("band").alias("b_band"), F.col("at").alias("b_at"), F.col("a").alias("b"))
+        return at.join(leaders, (F.col("band") == F.col("b_band")) & (F.col("at") != F.col("b_at")) & can("a", "b")).select(F.col("id").alias("u"), F.col("leader").alias("v"))
+
+    links = cut(verified(to_leaders(placed(None)).groupBy("u").agg(F.min("v").alias("v"))))
+    links = cut(links.union(verified(to_leaders(placed(components(links))).distinct())))
+    found = components(links)
+    at = placed(found).drop("leader")
+    apart = at.groupBy("band").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high").select("band")
+    mixed = cut(at.join(apart, "band"))
+    other = mixed.select(F.col("band").alias("b_band"), F.col("id").alias("b_id"), F.col("at").alias("b_at"), F.col("a").alias("b"))
+    pairs = mixed.join(other, (F.col("band") == F.col("b_band")) & (F.col("id") > F.col("b_id")) & (F.col("at") != F.col("b_at")) & can("a", "b"))
+    late = cut(verified(pairs.select(F.col("id").alias("u"), F.col("b_id").alias("v")).distinct()))
+    return components(links.union(late)) if late.limit(1).count() else found

@@ -9,18 +9,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from docweft.llm import bytehash as bh
-from docweft.llm.common import cut, table
+from docweft.llm.common import cut, small, table
 from docweft.llm.components import connected
 
-BANDS, ROWS = 30, 5
+#: At a similarity of 0.8, all bands fail with a chance of 3e-6.
+BANDS, ROWS = 54, 7
+SKETCH = -(-BANDS * ROWS // 16)
 _rng = np.random.default_rng(5)
 FACTOR = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFT = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -60,26 +59,32 @@ def bands(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (size of the set), f1 and f2 (a 128-bit fingerprint of it), sig (a byte of each minimum), bands."""
+    """doc_id, n (size of the set), f1 and f2 (a 128-bit fingerprint of it), sketch (four bits of each minimum), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
-                n, f1, f2, sig, keys = [], [], [], [], []
+                n, f1, f2, sketch, keys = [], [], [], [], []
                 for s in shingle_sets(part.column("text"), width):
                     n.append(len(s))
                     f1.append(s.sum(dtype=np.uint64).astype(np.int64))
                     f2.append(np.bitwise_xor.reduce(s, initial=np.uint64(0)).astype(np.int64))
-                    least = minima(s)
-                    sig.append(bh.mix(least.astype(np.uint64)).astype(np.uint8).tobytes() if len(s) else None)
-                    keys.append(bands(least).astype(np.int64) if len(s) else None)
+                    if len(s):
+                        least = minima(s)
+                        four = np.zeros(SKETCH * 16, np.uint8)
+                        four[: len(least)] = bh.mix(least.astype(np.uint64)) & np.uint64(15)
+                        sketch.append((four[::2] << 4 | four[1::2]).view(np.int64))
+                        keys.append(bands(least).astype(np.int64))
+                    else:
+                        sketch.append(None)
+                        keys.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "f1", "f2", "sig", "bands"],
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "f1", "f2", "sketch", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sig binary, bands array<bigint>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch array<bigint>, bands array<bigint>")
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
@@ -95,20 +100,28 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, s array<bigint>")
 
 
-@pandas_udf(DoubleType())
-def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The share of minima on which two signatures agree, less what bytes agree on by chance."""
-    if not len(a):
-        return pd.Series([], dtype=float)
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
-    return pd.Series(((x == y).mean(1) - 1 / 256) / (1 - 1 / 256))
+def close_enough(share: tuple[int, int]):
+    """Whether two sketches agree on enough minima for the wanted share: at most 4.5 standard errors less than expected (a chance of 4e-6)."""
+    n = BANDS * ROWS
+    p = share[0] / share[1] * 15 / 16 + 1 / 16  # four bits agree by chance, too
+    most = n - (n * p - 4.5 * (n * p * (1 - p)) ** 0.5)
 
+    def differ(a: str, b: str, i: int) -> Column:
+        x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
-def verified(pairs: DataFrame, sig: DataFrame, full: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) whose signatures agree well enough for the wanted share, and whose whole sets have it."""
-    floor = share[0] / share[1] - 0.2  # some six standard errors of the signature's estimate
-    near = pairs.join(sig.select(F.col("id").alias("u"), F.col("sig").alias("a")), "u").join(sig.select(F.col("id").alias("v"), F.col("sig").alias("b")), "v").filter(agreement("a", "b") >= floor).select("u", "v")
-    both = near.join(full.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(full.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
+    def near(a: str, b: str) -> Column:
+        sizes = (F.least(f"{a}.n", f"{b}.n") * share[1]) >= (F.greatest(f"{a}.n", f"{b}.n") * share[0])
+        return sizes & (sum(differ(a, b, i) for i in range(SKETCH)) <= F.lit(int(most)))
+
+    return near
+
+
+def verified(pairs: DataFrame, full: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) whose whole sets have the wanted share in common."""
+    both = pairs.join(full.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(full.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return both.withColumn("c", common).filter(F.col("c") * share[1] >= (F.size("a") + F.size("b") - F.col("c")) * share[0]).select("u", "v")
 
@@ -125,15 +138,16 @@ def classes_of(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 10
     some = rows.filter("n > 0 and doc_id is not null")
     # One id stands for all documents with one set.
     groups = cut(some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id")))
-    reps = some.join(groups.select("f1", "f2", "n", F.col("id").alias("doc_id")), ["f1", "f2", "n", "doc_id"]).select(F.col("doc_id").alias("id"), "sig", "bands")
-    banded = reps.select("id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").drop("last")
-    members = cut(banded.join(shared, "band").distinct())
+    reps = some.join(groups.select("f1", "f2", "n", F.col("id").alias("doc_id")), ["f1", "f2", "n", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "sketch", "bands")
+    dealt = reps.select("id", F.explode("bands").alias("band")).repartition("band")  # once for both uses below
+    shared = dealt.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").drop("last")
+    members = cut(dealt.join(shared, "band").select("band", "id", "leader"))
     involved = cut(members.select("id").distinct())
-    sig = cut(reps.select("id", "sig").join(involved, "id", "left_semi").dropDuplicates(["id"]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(involved, "id", "left_semi")
-    full = cut(sets(texts, width))
-    found = connected(members, lambda pairs: verified(pairs, sig, full, share))
+    sketches = reps.join(involved, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
+    members = cut(members.distinct().join(sketches, "id"))
+    full = cut(sets(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(involved), "id", "left_semi"), width))
+    # An id with rows of different texts has one set each in `full`; links are then links of any of them.
+    found = connected(members, lambda pairs: verified(pairs, full, share), close_enough(share))
     of_group = groups.join(found, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
     placed_rows = rows.select("doc_id", "n", "f1", "f2").join(of_group, ["f1", "f2", "n"], "left")
     return placed_rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
