@@ -1,10 +1,5 @@
-import sys
-from pathlib import Path
-
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-
 
 @pytest.fixture(scope="session")
 def data() -> str:
