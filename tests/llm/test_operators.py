@@ -123,6 +123,19 @@ def test_lines(request, which):
     assert sorted(((str(r["doc_id"]), r["text"]) for r in got.collect()), key=key) == sorted(brute_lines(rows), key=key)
 
 
+def test_lines_of_all_lengths_and_scripts(spark):
+    made = lambda k, n, letters: "".join(letters[int(hashlib.md5(f"{k}-{i}".encode()).hexdigest(), 16) % len(letters)] for i in range(n)).strip().ljust(n, "q")
+    latin, han = "abcdefghijklmnopqrstuvwxyz      ", [chr(0x4E00 + i) for i in range(900)]
+    texts = []
+    for k in range(40):
+        short, dense = made(k, 78, latin), made(k, 300, han)
+        texts += [short, short + " abc", dense, "\u4e8c" + dense, dense + "\u4e8c" * 3]  # across 80 characters; long ones without spaces
+    rows = list(enumerate([*texts, "abc", "abd", "ABC "]))
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == brute_lines(rows)
+    assert sum(1 for _, t in brute_lines(rows) if t == "") == 40 * 3 + 1
+
+
 # op3
 
 
