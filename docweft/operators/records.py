@@ -28,11 +28,11 @@ def invalidated(changed: DataFrame, depends: tuple = DEPENDS) -> DataFrame:
     return changed.select("doc_id", F.explode(found).alias("representation")).distinct()
 
 
-def entities(docs: DataFrame, least: int = 3, most: int = 50) -> DataFrame:
-    """entity_id, name, n_docs, n_mentions of the capitalised words (four ASCII letters or more) found in `least` to `most` documents."""
+def entities(docs: DataFrame, least: int = 3) -> DataFrame:
+    """entity_id, name, n_docs, n_mentions of the capitalised words (four ASCII letters or more) found in `least` documents or more."""
     words = docs.select("doc_id", F.explode(F.regexp_extract_all(T.text_of("text"), F.lit(r"\b[A-Z][a-z]{3,}\b"), F.lit(0))).alias("name"))
     counts = words.groupBy("doc_id", "name").agg(F.count("*").alias("c")).groupBy("name").agg(F.count("*").alias("n_docs"), F.sum("c").alias("n_mentions"))
-    return counts.filter(F.col("n_docs").between(least, most)).select(F.concat(F.lit("ent-"), F.substring(F.sha2("name", 256), 1, 16)).alias("entity_id"), "name", "n_docs", "n_mentions")
+    return counts.filter(F.col("n_docs") >= least).select(F.concat(F.lit("ent-"), F.substring(F.sha2("name", 256), 1, 16)).alias("entity_id"), "name", "n_docs", "n_mentions")
 
 
 def tag_entities(docs: DataFrame, entities: DataFrame) -> DataFrame:

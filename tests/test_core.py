@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweft import catalog, functions, sources, streaming
-from docweft.operators import answers, runlog, search, text
+from docweft.operators import answers, records, runlog, search, text
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -142,3 +142,12 @@ def test_stream_states_and_limits(spark, tmp_path, stream):
         assert {tuple(r) for r in last.collect()} == {(r["run_id"], r["last_event"], r["completed"]) for r in want.collect()}
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_entities_in_most_documents(spark):
+    rows = [(i, "Common words, Common Rarely" if i < 3 else "Common Once" if i == 3 else "Common") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = records.entities(docs)
+    assert {(r["name"], r["n_docs"], r["n_mentions"]) for r in found.collect()} == {("Common", 120, 123), ("Rarely", 3, 3)}
+    got = {r["doc_id"]: (r["n_entities"], r["first_entity"]) for r in records.tag_entities(docs, found).collect()}
+    assert got == {i: (2 if i < 3 else 1, "Common") for i in range(120)}
