@@ -62,6 +62,12 @@ def state(log: DataFrame, until_event: int | None = None) -> DataFrame:
     )
 
 
+def first_half(log: DataFrame) -> DataFrame:
+    """The events up to half of the largest event_id: an as-of point that moves with the log."""
+    point = log.agg(F.floor(F.max("event_id") / 2).alias("_point"))  # one row
+    return log.join(F.broadcast(point), F.col("event_id") <= F.col("_point")).drop("_point")
+
+
 def snapshot(states: DataFrame) -> DataFrame:
     """run_id and the checksum of its state."""
     text = F.concat_ws("|", "status", F.col("last_event").cast("string"), F.col("completed").cast("string"), F.col("failed").cast("string"))

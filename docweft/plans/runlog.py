@@ -52,6 +52,7 @@ QUERIES = {
     ),
     "reconstruct_state": (lambda s, d: R.state(log(s, d)), LOG + STATE),
     "state_as_of": (lambda s, d: R.state(log(s, d), until_event=2000), LOG.replace("FROM events", "FROM events WHERE event_id <= 2000") + STATE),
+    "state_as_of_half": (lambda s, d: R.state(R.first_half(log(s, d))), LOG.replace("FROM events", "FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events)") + STATE),
     "state_checksums": (
         lambda s, d: R.snapshot(R.state(log(s, d))),
         LOG + f", st AS ({STATE}) SELECT run_id, sha256(concat_ws('|', status, last_event::VARCHAR, completed::VARCHAR, failed::VARCHAR)) AS checksum FROM st",

@@ -151,3 +151,13 @@ def test_entities_in_most_documents(spark):
     assert {(r["name"], r["n_docs"], r["n_mentions"]) for r in found.collect()} == {("Common", 120, 123), ("Rarely", 3, 3)}
     got = {r["doc_id"]: (r["n_entities"], r["first_entity"]) for r in records.tag_entities(docs, found).collect()}
     assert got == {i: (2 if i < 3 else 1, "Common") for i in range(120)}
+
+
+def test_as_of_point_moves_with_the_log(spark):
+    for n in (10, 9001):
+        log = spark.range(n).selectExpr("id % 7 AS run_id", "id AS event_id", "'completed' AS status", "1.0D AS value")
+        got = runlog.state(runlog.first_half(log)).agg(F.sum("completed"), F.max("last_event")).first()
+        assert tuple(got) == ((n - 1) // 2 + 1, (n - 1) // 2)
+    whole = spark.read.parquet(f"{DATA}/events.parquet")
+    half = whole.agg(F.floor(F.max("event_id") / 2)).first()[0]
+    assert catalog.QUERIES["state_as_of_half"](spark, DATA).agg(F.sum("completed")).first()[0] == whole.filter((F.col("event_id") <= half) & F.col("event_type").isin([k for k, v in runlog.STATUS.items() if v == "completed"])).count()
