@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -174,24 +176,31 @@ def ewma(log: DataFrame, alpha: float = 0.15, providers: int = 10) -> DataFrame:
 def rate_limit(requests: DataFrame, most: int = 60, seconds: int = 60) -> DataFrame:
     """client, event_id, allowed. A request is refused if `most` allowed ones lie within the last `seconds`; refused ones don't count.
 
-    requests: client, event_id, ts. The decision depends on earlier decisions, so each client's requests go through one fold.
+    requests: client, event_id, ts. The decision depends on earlier decisions, so each client's requests go through one fold:
+    they are sorted by Spark, which can spill, and read as a stream of batches; only the allowed times within reach are held.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import deque
 
-        rows = rows.sort_values(["ms", "event_id"])
-        held: deque = deque()
-        allowed = []
-        for ms in rows["ms"]:
-            while held and ms - held[0] >= seconds * 1000:
-                held.popleft()
-            allowed.append(len(held) < most)
-            if allowed[-1]:
-                held.append(ms)
-        return pd.DataFrame({"client": rows["client"], "event_id": rows["event_id"], "allowed": allowed})
-
-    return requests.select("client", "event_id", millis("ts").alias("ms")).groupBy("client").applyInPandas(fold, "client long, event_id long, allowed boolean")
+        client, held = None, deque()
+        for rows in batches:
+            allowed = []
+            for own, nobody, ms in zip(rows["client"], rows["nobody"], rows["ms"], strict=True):
+                if (own, nobody) != client:
+                    client, held = (own, nobody), deque()
+                while held and ms - held[0] >= seconds * 1000:
+                    held.popleft()
+                allowed.append(len(held) < most)
+                if allowed[-1]:
+                    held.append(ms)
+            yield rows[["client", "nobody", "event_id"]].assign(allowed=allowed)
+
+    # A null client is a client; nulls are marked, so that pandas keeps the ids whole.
+    each = requests.select(F.coalesce("client", F.lit(0)).cast("long").alias("client"), F.col("client").isNull().alias("nobody"), "event_id", millis("ts").alias("ms"))
+    dealt = each.repartition("client", "nobody").sortWithinPartitions("client", "nobody", F.asc_nulls_last("ms"), "event_id")
+    folded = dealt.mapInPandas(fold, "client long, nobody boolean, event_id long, allowed boolean")
+    return folded.select(F.when(~F.col("nobody"), F.col("client")).alias("client"), "event_id", "allowed")
 
 
 def rates_by_minute(log: DataFrame, minutes: int = 60) -> DataFrame:

@@ -100,7 +100,7 @@ SELECT day, backlog, round(sh, 4) AS failed_share, CASE WHEN backlog > 20 THEN '
         LOG + """, x AS (SELECT run_id % 10 AS provider, status, row_number() OVER (PARTITION BY run_id % 10 ORDER BY ts DESC, event_id DESC) AS r FROM log WHERE status IN ('completed', 'failed'))
 SELECT provider, count(*) AS n, round(sum(0.15 * pow(0.85, r - 1) * CASE WHEN status = 'completed' THEN 100.0 ELSE 0.0 END) + 100.0 * pow(0.85, count(*)), 4) AS score FROM x GROUP BY 1""",
     ),
-    "rate_limit": (lambda s, d: R.rate_limit(t(s, d, "events").select((F.col("user_id") % 20).alias("client"), "event_id", "ts"), most=3, seconds=7200), None),
+    "rate_limit": (lambda s, d: R.rate_limit(t(s, d, "events").select(F.col("user_id").alias("client"), "event_id", "ts"), most=3, seconds=7200), None),
     "rates_by_hour": (
         lambda s, d: R.rates_by_minute(log(s, d)),
         LOG + """, g AS (SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS requests, round(sum(value), 2) AS load, count(*) FILTER (status = 'failed') AS failures FROM log GROUP BY 1)

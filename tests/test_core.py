@@ -161,3 +161,22 @@ def test_as_of_point_moves_with_the_log(spark):
     whole = spark.read.parquet(f"{DATA}/events.parquet")
     half = whole.agg(F.floor(F.max("event_id") / 2)).first()[0]
     assert catalog.QUERIES["state_as_of_half"](spark, DATA).agg(F.sum("completed")).first()[0] == whole.filter((F.col("event_id") <= half) & F.col("event_type").isin([k for k, v in runlog.STATUS.items() if v == "completed"])).count()
+
+
+def test_rate_limit_reads_a_stream_of_batches(spark):
+    rows = spark.range(3000).selectExpr("IF(id % 3 = 2, NULL, 9007199254740992 + id % 3) AS client", "id AS event_id", "timestamp_millis(id * 100) AS ts")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = runlog.rate_limit(rows, most=2, seconds=1)
+        found = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()  # no client is held whole
+    held: dict = {}
+    assert len(found) == 3000
+    for client, k, allowed in sorted(found, key=lambda r: r["event_id"]):
+        assert client == (None if k % 3 == 2 else 9007199254740992 + k % 3)
+        mine = held.setdefault(client, [])
+        assert allowed == (sum(100 * k - x < 1000 for x in mine) < 2)
+        if allowed:
+            mine.append(100 * k)
