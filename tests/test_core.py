@@ -180,3 +180,20 @@ def test_rate_limit_reads_a_stream_of_batches(spark):
         assert allowed == (sum(100 * k - x < 1000 for x in mine) < 2)
         if allowed:
             mine.append(100 * k)
+
+
+def test_postprocessing_of_answers(spark):
+    from docweft.operators import evidence
+
+    texts = ["A b c d e f g h. A b c d e f g h. Other [1] [2] text .", "One two three. Four. Five. Six. One two three.", None, ""]
+    got = [r["x"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").orderBy("id").select(evidence.postprocess("text").alias("x")).collect()]
+    assert got == ["A b c d e f g h. Other [1, 2] text.", "One two three. Four. Five. Six. One two three.", "", ""]
+
+
+def test_ablation_is_the_mean_by_configuration(spark):
+    from docweft.operators import evidence
+
+    rows = [("a", 1.0, 0.5), ("a", 0.0, 0.25), ("b", 0.5, 1.0)]
+    got = {r["config"]: (r["n_queries"], r["recall_5"], r["mrr"]) for r in evidence.ablation(spark.createDataFrame(rows, "config string, recall_5 double, mrr double")).collect()}
+    assert got == {"a": (2, 0.5, 0.375), "b": (1, 0.5, 1.0), None: (3, 0.5, 0.583333)}
+    assert evidence.ablation(spark.createDataFrame([], "config string, recall_5 double, mrr double")).count() <= 1
