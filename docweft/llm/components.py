@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.common import cut
+from docweft.llm.common import cut, small
 
 
 def _least(both: DataFrame) -> DataFrame:
-    """(u, m): the least of u and its neighbours; partial minima come first, so a hub's links are not gathered for it."""
-    return both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    """(u, m): the least of u and its neighbours. Partial minima come first, so a hub's links are not gathered for it; as a
+    table of its own it leaves a hub's rows in the join on u, which Spark can split, or is sent to all tasks if it is small."""
+    return small(cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))))
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -43,37 +44,80 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _all_stars(edges):
-        edges = cut(small_star(large_star(edges)).distinct())
+        edges = cut(small_star(cut(large_star(edges).distinct())).distinct())
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def connected(members: DataFrame, verified: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column] | None = None) -> DataFrame:
+#: Of every band, so many further members are taken as pivots before all that is still apart is compared.
+PIVOTS = 3
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after further links: only the graph of the components that they join goes through the steps."""
+    known = small(found)
+    at = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"at_{c}"))
+    between = links.join(at("u"), "u", "left").join(at("v"), "v", "left").select(F.coalesce("at_u", "u").alias("u"), F.coalesce("at_v", "v").alias("v"))
+    moved = small(cut(components(between)))
+    of = found.join(moved.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    new = moved.join(found.select("id"), "id", "left_anti")
+    return cut(of.select("id", F.coalesce("to", "component").alias("component")).union(new.select("id", "component")))
+
+
+def connected(
+    members: DataFrame,
+    verified: Callable[[DataFrame], DataFrame],
+    near: Callable[[str, str], Column] | None = None,
+    sketched: Callable[[DataFrame], DataFrame] | None = None,
+    like: Callable[[str, str], Column] | None = None,
+) -> DataFrame:
     """(id, component) of the verified links among the members of each band. members: band, id, leader (the band's least id).
 
     verified takes pairs (u, v) and returns those that are links; near(a, b) tells from further columns of members (those of
     the two sides come in structs a and b) whether a pair can be one. Not all pairs of a band are made. First each id is
-    compared with the least of its bands' leaders that it can be like, then with those leaders that are still in other components, then with what
-    else is in another component. A pair that is never compared lies in one component already, so components come out the same.
+    compared with the least of its bands' leaders that it can be like, then with those leaders that are still in other
+    components, then with one pivot of each band after the other, and at last with what is in another component even then, each
+    pair in the first band that it shares. A pair that is never compared lies in one component, so components come out the same.
+
+    From the pivots on, sharper sketches can be used: sketched takes the ids that it is about (a table with id) and returns them
+    with the sketches' columns, of which like(a, b) tells whether a pair can be a link.
     """
     more = F.struct(*[c for c in members.columns if c not in ("band", "id", "leader")], F.lit(0).alias("_"))
     can = near or (lambda a, b: F.lit(True))
 
-    def placed(found: DataFrame | None) -> DataFrame:
-        at = members.withColumn("at", F.col("id")) if found is None else members.join(found, "id", "left").withColumn("at", F.coalesce("component", "id"))
-        return at.select("band", "id", "leader", "at", more.alias("a"))
+    def placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+        return rows.join(small(found), "id", "left").withColumn("at", F.coalesce("component", "id")).drop("component")
 
     def to_leaders(at: DataFrame) -> DataFrame:
         """Pairs of members with leaders of their bands that lie in other components."""
         leaders = at.filter("id = leader").select(F.col("band").alias("b_band"), F.col("at").alias("b_at"), F.col("a").alias("b"))
         return at.join(leaders, (F.col("band") == F.col("b_band")) & (F.col("at") != F.col("b_at")) & can("a", "b")).select(F.col("id").alias("u"), F.col("leader").alias("v"))
 
-    links = cut(verified(to_leaders(placed(None)).groupBy("u").agg(F.min("v").alias("v"))))
-    links = cut(links.union(verified(to_leaders(placed(components(links))).distinct())))
-    found = components(links)
-    at = placed(found).drop("leader")
-    apart = at.groupBy("band").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high").select("band")
-    mixed = cut(at.join(apart, "band"))
-    other = mixed.select(F.col("band").alias("b_band"), F.col("id").alias("b_id"), F.col("at").alias("b_at"), F.col("a").alias("b"))
-    pairs = mixed.join(other, (F.col("band") == F.col("b_band")) & (F.col("id") > F.col("b_id")) & (F.col("at") != F.col("b_at")) & can("a", "b"))
-    late = cut(verified(pairs.select(F.col("id").alias("u"), F.col("b_id").alias("v")).distinct()))
-    return components(links.union(late)) if late.limit(1).count() else found
+    rows = members.select("band", "id", "leader", more.alias("a"))
+    links = verified(cut(to_leaders(rows.withColumn("at", F.col("id"))).groupBy("u").agg(F.min("v").alias("v"))))
+    found = cut(components(links))
+    found = merged(found, verified(cut(to_leaders(placed(rows, found)).distinct())))
+
+    def still_apart(rows: DataFrame) -> DataFrame:
+        """The rows of the bands whose members lie in different components."""
+        at = placed(rows.drop("at"), found)
+        apart = at.groupBy("band").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high").select("band")
+        return cut(at.join(apart, "band"))
+
+    apart = still_apart(rows.filter("id <> leader").drop("leader"))  # all have been compared with the leaders
+    if sketched:
+        sketches = sketched(cut(apart.select("id").distinct()))
+        apart = cut(apart.drop("a").join(sketches.select("id", F.struct(*[c for c in sketches.columns if c != "id"]).alias("s")), "id"))
+    can_be = like("s", "b_s") if sketched else can("a", "b")
+    other = lambda x: x.select(*[F.col(c).alias("b" if c == "a" else f"b_{c}") for c in x.columns])
+    meet = (F.col("band") == F.col("b_band")) & (F.col("at") != F.col("b_at"))
+    for k in range(PIVOTS):
+        own = apart.groupBy("band").agg(F.min_by("id", F.xxhash64("id", F.lit(k))).alias("pivot"))
+        pivots = cut(apart.join(own, "band").filter("id = pivot").drop("pivot"))
+        pairs = apart.join(other(pivots), meet & can_be).select(F.col("id").alias("u"), F.col("b_id").alias("v"))
+        found = merged(found, verified(cut(pairs.distinct())))
+        apart = still_apart(apart)
+    bands = apart.groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("bands"))  # no more than an id has
+    apart = cut(apart.join(bands, "id"))
+    first = F.array_intersect("bands", "b_bands")[0] == F.col("band")
+    pairs = apart.join(other(apart), meet & (F.col("id") > F.col("b_id")) & can_be & first).select(F.col("id").alias("u"), F.col("b_id").alias("v"))
+    return merged(found, verified(cut(pairs)))

@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.llm import bytehash as bh
-from docweft.llm.common import cut, small, table
+from docweft.llm.common import cut, most_odd, small, table
 from docweft.llm.components import connected
 
 #: At a similarity of 0.8, all bands fail with a chance of 3e-6.
 BANDS, ROWS = 54, 7
-SKETCH = -(-BANDS * ROWS // 16)
+#: Words of a sketch: four bits each of 64 minima, then 1,024 bits that tell how many shingles are in one set only.
+AGREE, ODD = 4, 16
 _rng = np.random.default_rng(5)
 FACTOR = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFT = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -59,7 +60,7 @@ def bands(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (size of the set), f1 and f2 (a 128-bit fingerprint of it), sketch (four bits of each minimum), bands."""
+    """doc_id, n (size of the set), f1 and f2 (a 128-bit fingerprint of it), sketch (of AGREE + ODD words), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,9 +73,9 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     f2.append(np.bitwise_xor.reduce(s, initial=np.uint64(0)).astype(np.int64))
                     if len(s):
                         least = minima(s)
-                        four = np.zeros(SKETCH * 16, np.uint8)
-                        four[: len(least)] = bh.mix(least.astype(np.uint64)) & np.uint64(15)
-                        sketch.append((four[::2] << 4 | four[1::2]).view(np.int64))
+                        four = (bh.mix(least[: AGREE * 16].astype(np.uint64)) & np.uint64(15)).astype(np.uint8)
+                        odd = np.packbits((np.bincount((s >> np.uint64(8) & np.uint64(ODD * 64 - 1)).astype(np.int64), minlength=ODD * 64) & 1).astype(np.uint8))
+                        sketch.append(np.concatenate([(four[::2] << 4 | four[1::2]).view(np.int64), odd.view(np.int64)]))
                         keys.append(bands(least).astype(np.int64))
                     else:
                         sketch.append(None)
@@ -101,8 +102,8 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def close_enough(share: tuple[int, int]):
-    """Whether two sketches agree on enough minima for the wanted share: at most 4.5 standard errors less than expected (a chance of 4e-6)."""
-    n = BANDS * ROWS
+    """Whether the sketches allow for the wanted share: enough minima agree (4.5 standard errors less than expected: a chance of 4e-6), and few enough shingles are in one set only."""
+    n = AGREE * 16
     p = share[0] / share[1] * 15 / 16 + 1 / 16  # four bits agree by chance, too
     most = n - (n * p - 4.5 * (n * p * (1 - p)) ** 0.5)
 
@@ -113,8 +114,11 @@ def close_enough(share: tuple[int, int]):
         return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
     def near(a: str, b: str) -> Column:
-        sizes = (F.least(f"{a}.n", f"{b}.n") * share[1]) >= (F.greatest(f"{a}.n", f"{b}.n") * share[0])
-        return sizes & (sum(differ(a, b, i) for i in range(SKETCH)) <= F.lit(int(most)))
+        k, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+        sizes = (F.least(k, m) * share[1]) >= (F.greatest(k, m) * share[0])
+        odd = sum(F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(AGREE, AGREE + ODD))
+        apart = (k + m) * ((share[1] - share[0]) / (share[1] + share[0]))
+        return sizes & (sum(differ(a, b, i) for i in range(AGREE)) <= F.lit(int(most))) & (odd <= most_odd(apart, ODD * 64))
 
     return near
 
@@ -122,8 +126,8 @@ def close_enough(share: tuple[int, int]):
 def verified(pairs: DataFrame, full: DataFrame, share: tuple[int, int]) -> DataFrame:
     """The pairs (u, v) whose whole sets have the wanted share in common."""
     both = pairs.join(full.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(full.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.withColumn("c", common).filter(F.col("c") * share[1] >= (F.size("a") + F.size("b") - F.col("c")) * share[0]).select("u", "v")
+    enough = F.size(F.array_intersect("a", "b")) * (share[0] + share[1]) >= (F.size("a") + F.size("b")) * share[0]
+    return both.filter(enough).select("u", "v")
 
 
 def classes_of(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -143,7 +147,7 @@ def classes_of(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 10
     shared = dealt.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").drop("last")
     members = cut(dealt.join(shared, "band").select("band", "id", "leader"))
     involved = cut(members.select("id").distinct())
-    sketches = reps.join(involved, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
+    sketches = reps.join(involved, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(AGREE + ODD)])
     members = cut(members.distinct().join(sketches, "id"))
     full = cut(sets(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(involved), "id", "left_semi"), width))
     # An id with rows of different texts has one set each in `full`; links are then links of any of them.
