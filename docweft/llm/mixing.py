@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A document's expected number of copies is its source's target over its source's size. The whole part of that number
-is certain; for the rest, documents are ranked by random odds over inclusion odds, and the lowest ranks are taken.
+The whole part of target over size, of a source, is how often all its documents are taken for certain. For the rest, each
+document has an inclusion probability of its own, in proportion to its size and 1 at most, such that the expected words are
+those that are wanted; documents are ranked by random odds over inclusion odds, and the lowest ranks are taken.
 """
 
 from __future__ import annotations
@@ -45,6 +46,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_copies: int,
     return sources.select("source", "source_size", "weight", target.alias("target"))
 
 
+def inclusion_rates(units: DataFrame) -> DataFrame:
+    """source, per_word: a document of size s has the inclusion probability min(1, s * per_word). units: source, size, wanted.
+
+    The largest sizes are certain: with the words above a size taken off, what is left is shared by the sum of squares up
+    to it; the largest size for which that gives no more than 1 tells the rate. Sums go over sizes, not documents.
+    """
+    own = Window.partitionBy("source").orderBy("size")
+    by = units.groupBy("source", "size").agg(F.count("*").alias("n"), F.first("wanted").alias("wanted")).filter("size > 0")
+    exact = lambda c: c.cast("decimal(38,0)")  # noqa: E731  sums don't depend on their order
+    words = F.sum(exact(F.col("size") * F.col("n"))).over(own.rowsBetween(1, Window.unboundedFollowing))
+    squares = F.sum(exact(F.col("size")) * exact(F.col("size") * F.col("n"))).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    left = F.col("wanted") - F.coalesce(words, F.lit(0)).cast("double")
+    by = by.select("source", "size", left.alias("left"), squares.cast("double").alias("squares")).filter(F.col("left") * F.col("size") <= F.col("squares"))
+    return by.groupBy(F.col("source").alias("_of")).agg(F.max_by(F.col("left") / F.col("squares"), "size").alias("per_word"))
+
+
 def pareto_take(units: DataFrame, by: str, size: str, inclusion: str, wanted: str, draw: Column, keys: list[str]) -> DataFrame:
     """Adds taken (boolean): within each `by`, rows in Pareto order until their sizes come nearest to `wanted`.
 
@@ -75,16 +92,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int =
     """How often each document goes into the mix. docs: doc_id, source, text; other columns are not looked at.
 
     Returns one row for each row of docs: doc_id, source, size (words), source_size, target, copies, taken (size * copies).
-    Null text: size 0. A null source is a source. Documents of size 0 are taken as often as the certain copies say and
-    add no words. Repeated rows count each; rows that agree in doc_id draw alike and are ordered by size. An empty table
+    Null text: size 0. A null source is a source. Documents of size 0 are taken as often as the certain copies say (once
+    more if the whole source is) and add no words. Repeated rows count each; rows that agree in doc_id draw alike and are ordered by size. An empty table
     gives an empty result. Reruns agree, since draws depend on seed and doc_id alone.
     """
     sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
     totals = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_copies, share))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     totals = totals.withColumn("certain", F.floor(rate + F.lit(1e-12)).cast("long"))
-    totals = totals.withColumn("part", F.greatest(rate - F.col("certain"), F.lit(0.0))).withColumn("wanted", F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0)))
+    totals = totals.withColumn("wanted", F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0)))
     units = sized.join(totals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    units = units.join(inclusion_rates(units), F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")  # one row a source
+    units = units.withColumn("part", F.least(F.lit(1.0), F.col("size") * F.coalesce("per_word", F.lit(0.0))))
     drawn = pareto_take(units, "source", "size", "part", "wanted", random_share(seed, F.col("doc_id")), ["doc_id", "size"])
     copies = F.col("certain") + F.when(F.col("taken"), F.lit(1)).otherwise(F.lit(0))
     return drawn.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))

@@ -17,7 +17,12 @@ c AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-1
 d AS (SELECT s.*, c.source_size, c.target, c.certain, greatest(c.target - c.certain * c.source_size, 0) AS wanted,
         ((('0x' || substr(md5('17|' || s.doc_id), 1, 12))::BIGINT) + 0.5) / 281474976710656.0 AS u
       FROM sized s JOIN c ON s.source IS NOT DISTINCT FROM c.source),
-r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) AS run FROM d)
+hs AS (SELECT source, size, count(*) AS n, any_value(wanted) AS wanted FROM d WHERE size > 0 GROUP BY source, size),
+hw AS (SELECT source, size, wanted - coalesce(sum(size * n) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS rest,
+        (sum(size::HUGEINT * size * n) OVER (PARTITION BY source ORDER BY size ROWS UNBOUNDED PRECEDING))::DOUBLE AS squares FROM hs),
+pw AS (SELECT source, arg_max(rest / squares, size) AS per_word FROM hw WHERE rest * size <= squares GROUP BY source),
+i AS (SELECT d.*, least(greatest(least(1.0::DOUBLE, size * coalesce(per_word, 0.0)::DOUBLE), 1e-12::DOUBLE), 1 - 1e-12::DOUBLE) AS p FROM d LEFT JOIN pw ON d.source IS NOT DISTINCT FROM pw.source),
+r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY (u / (1.0::DOUBLE - u)) / (p / (1.0::DOUBLE - p)), doc_id, size ROWS UNBOUNDED PRECEDING) AS run FROM i)
 SELECT doc_id, size, source_size, target,
   (size * (certain + CASE WHEN wanted > 0 AND wanted > run - size AND (run <= wanted OR run - wanted < wanted - (run - size)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r

@@ -225,6 +225,18 @@ def test_mix_takes_what_the_targets_say_and_reruns_agree(documents):
     assert all(abs(taken - target) <= largest for taken, target, largest in by.values())
 
 
+def test_mix_inclusion_follows_size(spark):
+    """400 sources with documents of the same sizes: how often each size is taken is what its probability says."""
+    sizes = [1, 2, 3, 4, 5, 6, 8, 10, 14, 47]
+    rows = [(k * 100 + i, f"s{k:03d}", " ".join(["w"] * n)) for k in range(400) for i, n in enumerate(sizes)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), weights=(1,), share=0.6)
+    taken = {r["size"]: r["m"] for r in got.groupBy("size").agg(F.avg("copies").alias("m")).collect()}
+    rate = (60 - 47) / sum(n * n for n in sizes[:-1])  # the largest one is certain, the others share what is left
+    want = {n: min(1.0, n * rate) for n in sizes}
+    assert taken[47] == 1 and all(abs(taken[n] - want[n]) < 0.1 for n in sizes), (taken, want)
+    assert taken[1] < taken[5] < taken[14]
+
+
 # op7
 
 
