@@ -3,7 +3,7 @@
 Training: of the labelled documents that may be learned from, at most `most` (by a hash of the id) are taken. Counts of
 n-grams by label give the log-count ratios; the n-grams whose ratio stands out most against chance are the features; a
 feature's value is its ratio if the text has the n-gram, else 0; logistic regression (pyspark.ml) gives the weights.
-Characters are taken as the bytes of UTF-8, A-Z in lower case. Scoring reads each whole text once, in the tasks; the
+Characters are code points, A-Z in lower case; n-grams are known by 64-bit hashes. Scoring reads each whole text once, in the tasks; the
 model is at most `n_features` numbers.
 """
 
@@ -32,17 +32,30 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def grams(data: np.ndarray, n: int) -> np.ndarray:
-    """Each n-gram as one number: its bytes and its order."""
-    m = max(0, len(data) - n + 1)
-    out = np.full(m, n << 56, np.uint64)
+def characters(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of texts given as bytes of UTF-8, A-Z in lower case, and where each text begins and ends among them.
+
+    If the bytes aren't UTF-8, each byte is a character.
+    """
+    try:
+        points = np.frombuffer(bh.LOWER[data].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    except UnicodeDecodeError:
+        return bh.LOWER[data].astype(np.uint32), ends
+    before = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+    return points, before[ends]
+
+
+def grams(points: np.ndarray, n: int) -> np.ndarray:
+    """Each n-gram of code points as one number."""
+    m = max(0, len(points) - n + 1)
+    out = np.full(m, n, np.uint64)
     for k in range(n):
-        out |= data[k : k + m].astype(np.uint64) << np.uint64(8 * k)
+        out = out * bh.BASE + points[k : k + m].astype(np.uint64)
     return out
 
 
 def bucket(keys: np.ndarray) -> np.ndarray:
-    return (keys * bh.BASE >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    return (bh.mix(keys) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 @dataclass
@@ -56,8 +69,9 @@ class Model:
         self.flags[bucket(self.keys)] = True
 
     def present(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, feature) pairs, each once, sorted."""
+        """(text, feature) pairs, each once, sorted. data, ends: bytes of UTF-8 and where each text begins and ends."""
         pairs = []
+        data, ends = characters(data, ends)
         for n in ORDERS if len(self.keys) else ():
             keys = grams(data, n)
             at = np.flatnonzero(self.flags[bucket(keys)])
@@ -84,7 +98,7 @@ def _counts(sample: DataFrame, keep: np.ndarray | None) -> DataFrame:
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
             for a, b, data, ends in bh.parts(batch.column("text")):
-                data = bh.LOWER[data]
+                data, ends = characters(data, ends)
                 for d in range(a, b):
                     keys = [grams(data[ends[d - a] : ends[d - a + 1]], n) for n in ORDERS]
                     keys = np.concatenate(keys)
@@ -138,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 16_000, n_features: int
         for batch in batches:
             at, values = [], []
             for a, b, data, ends in bh.parts(pa.array(batch["text"], pa.string())):
-                doc, k = finder.present(bh.LOWER[data], ends)
+                doc, k = finder.present(data, ends)
                 for d in range(b - a):
                     own = k[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
                     at.append(own.tolist())
@@ -161,7 +175,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*held.value)
         for batch in batches:
-            found = [model.scores(bh.LOWER[data], ends) for _, _, data, ends in bh.parts(batch.column("text"))]
+            found = [model.scores(data, ends) for _, _, data, ends in bh.parts(batch.column("text"))]
             s = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -176,7 +190,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         model = Model(*held.value)
         for batch in batches:
             for a, b, data, ends in bh.parts(batch.column("text")):
-                yield batch.slice(a, b - a).filter(pa.array(model.scores(bh.LOWER[data], ends) < threshold))
+                yield batch.slice(a, b - a).filter(pa.array(model.scores(data, ends) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
