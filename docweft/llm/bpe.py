@@ -26,6 +26,32 @@ LONG_WORD = 256
 #: Encodings of so many words are kept by each Python worker; beyond that it starts anew.
 CACHE = 150_000
 
+#: Ranges that Python's tables take for letters and numbers and the library's don't.
+NOT_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8),
+    (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191),
+    (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96),
+    (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF),
+    (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+NOT_NUMBERS = ((0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6))
+#: Upper-case characters that only the library's tables have: first, last, lower case of the first.
+UPPER = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+LOWER = {c: to + c - a for a, b, to in UPPER for c in range(a, b + 1)}
+
+
+def one_of(ranges: tuple) -> str:
+    """A set of characters for patterns."""
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]"
+
+
+RARE = regex.compile("|".join(map(one_of, (NOT_LETTERS, NOT_NUMBERS, tuple(u[:2] for u in UPPER)))))
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself if printable in Latin-1, else the next one from U+0100 on."""
@@ -51,6 +77,9 @@ class Vocabulary:
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
+        # For texts with rare characters: letters and numbers as the library has them.
+        less = split["pattern"]["Regex"].replace(r"\p{L}", rf"[\p{{L}}--{one_of(NOT_LETTERS)}]").replace(r"\p{N}", rf"[\p{{N}}--{one_of(NOT_NUMBERS)}]")
+        self.rare_words = regex.compile(less, regex.V1)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         # (left id << 32 | right id) -> rank; rank -> merged id
         self.rank: dict[int, int] = {}
@@ -123,8 +152,10 @@ class Vocabulary:
             if (i := self.special.get(part)) is not None:
                 out.append((str(i), part, 1, [i]))
             elif part:
-                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()  # sigma: each character by itself
-                out += [get(w) or word(w) for w in self.words.findall(plain)]
+                plain = unicodedata.normalize("NFC", part)
+                rare = not part.isascii() and RARE.search(plain)
+                plain = (plain.translate(LOWER) if rare else plain).replace("Σ", "σ").lower()  # sigma: each character by itself
+                out += [get(w) or word(w) for w in (self.rare_words if rare else self.words).findall(plain)]
         return out
 
     def decode(self, ids: list[int]) -> str:

@@ -334,6 +334,20 @@ def test_encoding_as_the_library_does(spark, docs, documents):
         assert {r["doc_id"]: tuple(r[1:]) for r in bpe.digests(table, path).collect()} == {i: (len(ids), sha(" ".join(map(str, ids))), sha(back[i])) for i, ids in want.items()}
 
 
+def test_bpe_every_character_of_the_first_planes():
+    import public_tokenizers
+    import tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        voc = bpe.Vocabulary(f.read())
+    points = [c for c in [*range(0x80, 0xD800), *range(0xE000, 0x20000)] if c % 3 == 0 or bpe.RARE.search(chr(c))]
+    texts = [f"a{chr(c)}b 1{chr(c)}?!" for c in points]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    assert not [hex(c) for c, t, w in zip(points, texts, want) if [i for x in voc.encode(t) for i in x[3]] != w.ids]
+
+
 # op10
 
 
