@@ -21,6 +21,14 @@ from docweft.llm.common import table
 
 FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "main", "chrome", "heading", "item"]
 
+#: Blocks of five pages of the given `pages` (sf0.01, page_id 1, 3, 4, 5 and 6, the last one's first blocks), labelled by hand, as in LABELLED.
+REAL = [
+    [*[(1, 1, "oci", 0)] * 6, (8, 0, "oc", 0), (7, 0, "mh", 1), *[(n, 0, "m", 1) for n in (7, 22, 33, 30, 45, 5, 31, 1, 94, 11, 56, 76, 46)], (8, 0, "oc", 0)],
+    [*[(1, 1, "oci", 0)] * 5, (8, 0, "oc", 0), (14, 0, "mh", 1), *[(n, 0, "m", 1) for n in (35, 17, 49, 143)], (11, 0, "oc", 0)],
+    [*[(1, 1, "oci", 0)] * 6, (8, 0, "oc", 0), (11, 0, "mh", 1), *[(n, 0, "m", 1) for n in (41, 17, 18, 70, 83, 17)], (14, 0, "oc", 0)],
+    [*[(1, 1, "oci", 0)] * 6, (11, 0, "oc", 0), (2, 0, "mh", 1), *[(n, 0, "m", 1) for n in (2, 32, 17, 12, 6, 26, 102, 83, 11, 74, 5, 4)], (12, 0, "oc", 0)],
+    [*[(1, 1, "oci", 0)] * 6, (9, 0, "oc", 0), (10, 0, "mh", 1), *[(n, 0, "m", 1) for n in (32, 21, 54, 53, 12, 1, 161, 45, 7, 25)]],
+]
 #: The labelled table: pages of blocks in page order. A block: words, of these inside links, where it stands, content (1) or not (0).
 #: Where: m inside article/main, o outside of it on a page that has one, "-" on a page without; c inside a menu, header,
 #: footer, sidebar, notice, advert, form or comment by its tags, class, id or role; h heading; i list item.
@@ -34,6 +42,10 @@ LABELLED = [
     [(7, 0, "-h", 1), (28, 0, "-", 1), (9, 0, "-", 1), (31, 2, "-", 1), (2, 0, "-h", 1), (11, 0, "-i", 1), (8, 1, "-i", 1), (24, 0, "-", 1), (6, 6, "-", 0), (1, 1, "-", 0), (3, 3, "-", 0)],
     [(1, 0, "-", 0), (2, 1, "-", 0), (1, 1, "-", 0), (2, 2, "-", 0), (5, 5, "-", 0), (150, 0, "-", 1), (8, 0, "-", 1), (75, 5, "-", 1), (2, 2, "-", 0), (2, 2, "-", 0)],
     [(1, 1, "oi", 0), (1, 1, "oi", 0), (12, 0, "oh", 0), (3, 0, "m", 1), (2, 2, "m", 1), (14, 0, "m", 1), (6, 0, "mi", 1), (5, 0, "mi", 1), (4, 0, "mi", 1), (18, 0, "mc", 0), (9, 9, "oi", 0)],
+    *REAL,
+    [(1, 0, "mh", 1), (2, 0, "m", 1), (5, 0, "mc", 0), (2, 0, "m", 1)],
+    [(1, 0, "mh", 1), (6, 0, "m", 1)],
+    [(1, 1, "oci", 0), (1, 0, "mh", 1), (3, 0, "m", 1), (3, 0, "mch", 0)],
     [(1, 0, "m", 1), (10, 0, "-", 1), (120, 0, "-c", 0), (1, 0, "mh", 1), (4, 4, "mci", 0), (1, 0, "mc", 0), (300, 0, "m", 1)],
 ]
 
@@ -45,7 +57,9 @@ CONTAINERS = BLOCKS | {"button", "span", "a"}
 VOID_P = {"p", "li", "dt", "dd", "option", "tr", "td", "th", "hr"}
 #: Words of a class or id, and values of role, that mark a page's surroundings.
 MARKS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar side widget aside header masthead topbar footer bottombar notice notices cookie cookies consent gdpr popup modal overlay alert toast newsletter subscribe signup login share sharing social related recommended recommendations comment comments reply replies respond disqus pagination pager skip copyright legal complementary contentinfo search dialog".split())
-ITSELF = {"html", "body", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6"}  # a mark on these tells nothing of a part of the page
+#: Words that can stand beside a mark in one class or id (`site-header`, `comment-list`); beside others a mark tells nothing (`side-effects`, `menu-history`).
+BESIDE = set("site page main top bottom left right center outer inner upper lower global primary secondary fixed sticky floating mobile desktop box bar list item items links link wrapper wrap container section block area content panel row column col group button buttons form text image slot unit zone inline nav post posts article articles reader readers user block body title heading head more js is has id the".split())
+PAGE = {"html", "body", "main"}  # a mark on these tells nothing of a part of the page
 
 TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z) | <(?P<raw>{RAW})\b[^>]*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z) | <[!?][^>]*(?:>|\Z)
@@ -56,14 +70,20 @@ MARKED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 
+def is_mark(name: str, strict: bool) -> bool:
+    """Whether a class, id or role as a whole names a part of a page's surroundings; strict: with nothing else beside the mark."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+    return any(w in MARKS for w in words) and all(w in MARKS or (w in BESIDE and not strict) for w in words)
+
+
 def is_chrome(tag: str, attrs: str, in_main: bool) -> bool:
     if tag in CHROME and not (tag == "header" and in_main):
         return True
-    if tag in ITSELF or not attrs:
+    if tag in PAGE or not attrs:
         return False
     if HIDDEN.search(attrs):
         return True
-    return any(w in MARKS for m in MARKED.finditer(attrs) for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", m[2] or m[3] or m[4] or "").lower()))
+    return any(is_mark(x, tag == "article") for m in MARKED.finditer(attrs) for x in (m[2] or m[3] or m[4] or "").split())
 
 
 def blocks(page: str) -> list[tuple[str, int, int, str]]:
