@@ -39,9 +39,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_copies: int,
     sources = sources.withColumn("full_at", F.col("cap") / F.col("weight"))
     sources = sources.withColumn("whole", F.sum("source_size").over(everything) * F.lit(share)).withColumn("all_weight", F.sum("weight").over(everything))
     left, left_weight = F.col("whole") - F.coalesce(F.sum("cap").over(before), F.lit(0)), F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    sources = sources.withColumn("level", left / left_weight)
+    sources = sources.withColumn("level", left / left_weight).withColumn("turn", F.row_number().over(fill))
     # The first source in this order that the level doesn't fill, and with it all later ones, share the level by weight.
-    sources = sources.withColumn("open_level", F.min(F.when(F.col("level") < F.col("full_at"), F.struct("full_at", "level"))).over(everything)["level"])
+    sources = sources.withColumn("open_level", F.min(F.when(F.col("level") < F.col("full_at"), F.struct("turn", "level"))).over(everything)["level"])
     target = F.when(F.col("open_level").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("open_level") * F.col("weight")))
     return sources.select("source", "source_size", "weight", target.alias("target"))
 

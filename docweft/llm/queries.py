@@ -9,9 +9,9 @@ WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1)::BIGINT AS weight, 3 * source_size AS cap FROM src),
 f AS (SELECT *, cap::DOUBLE / weight AS full_at, sum(source_size) OVER ()::DOUBLE AS whole, sum(weight) OVER () AS all_weight FROM w),
-l AS (SELECT *, (whole - coalesce(sum(cap) OVER b, 0)) / (all_weight - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level FROM f
+l AS (SELECT *, (whole - coalesce(sum(cap) OVER b, 0)) / (all_weight - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level, row_number() OVER (ORDER BY full_at, source IS NULL, encode(source)) AS turn FROM f
       WINDOW b AS (ORDER BY full_at, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-o AS (SELECT *, (SELECT arg_min(level, full_at) FROM l WHERE level < full_at) AS open_level FROM l),
+o AS (SELECT *, (SELECT arg_min(level, turn) FROM l WHERE level < full_at) AS open_level FROM l),
 t AS (SELECT source, source_size, CASE WHEN open_level IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, open_level * weight) END AS target FROM o),
 c AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END::BIGINT AS certain FROM t),
 d AS (SELECT s.*, c.source_size, c.target, c.certain, greatest(c.target - c.certain * c.source_size, 0) AS wanted,

@@ -93,6 +93,51 @@ def test_extraction_keeps_the_article_only(spark):
     assert extraction.extract(rows.limit(0)).count() == 0
 
 
+CASES = [
+    ('<article><h1>T</h1><p>One two.</p><p class="advert">Buy this now and save.</p><p>Three four.</p></article>', "T\nOne two.\nThree four."),
+    ('<main><article><h1>T</h1><p>One two three.</p></article><article class="comment"><p>I liked this a lot, thank you.</p></article></main>', "T\nOne two three."),
+    ('<article><h1>T</h1><p>One two three.</p><h3 class="related">More like this</h3></article>', "T\nOne two three."),
+    ('<article><h1>T</h1><section class="side-effects"><p>They are mild and pass soon.</p></section></article>', "T\nThey are mild and pass soon."),
+    ('<article><h1>T</h1><section id="menu-history"><p>The first menus were tables.</p></section></article>', "T\nThe first menus were tables."),
+    ('<article><h1>T</h1><div class="share-of-wealth"><p>A tenth owns half.</p></div></article>', "T\nA tenth owns half."),
+    ('<article><h1>T</h1><section class="copyright-law"><p>The law of 1909.</p></section></article>', "T\nThe law of 1909."),
+    ('<body><header class="site-header"><a href="/">Home</a></header><article><h1>T</h1><p>One two three.</p><ul class="comment-list"><li>Nice one!</li></ul></article></body>', "T\nOne two three."),
+]
+
+
+def test_extraction_of_marks_and_of_names_that_only_hold_one(spark):
+    pages = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(CASES)], "page_id long, url string, html string")
+    got = [r["text"] for r in extraction.extract(pages).orderBy("page_id").collect()]
+    assert got == [w for _, w in CASES]
+
+
+def test_extraction_of_a_very_long_page_with_clashing_columns(spark):
+    html = "<nav><a href='/'>Home</a></nav><article><h1>T</h1>" + "<p>One two three four five.</p>" * 50_000 + "</article>"
+    pages = spark.createDataFrame([(1, "u", html, "x", 7), (1, "u", html, "x", 7), (2, None, None, None, None)], "page_id long, url string, html string, text string, n_chars long")
+    got = sorted((r["page_id"], r["n_chars"]) for r in extraction.extract(pages).collect())
+    n = 1 + 50_000 * (1 + len("One two three four five."))
+    assert got == [(1, n), (1, n), (2, 0)]
+
+
+def test_extraction_of_pages_that_were_not_labelled(spark):
+    """The article of each given page, less five that are in the labelled table, by a plain reading of its markup."""
+    import html
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").filter("page_id not in (1, 3, 4, 5, 6)")
+    rows = {r["page_id"]: r["html"] for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in extraction.extract(pages).collect()}
+
+    def article(page):
+        inside = re.search(r"<article>(.*)</article>", page, re.S)
+        parts = re.split(r"</?(?:p|h1)>", inside[1]) if inside else []
+        texts = [" ".join(html.unescape(re.sub(r"<[^>]+>", " " if "br" in x else "", re.sub("<br>", " ", x))).split()) for x in parts]
+        return "\n".join(x for x in texts if x)
+
+    same = sum(got[i] == article(page) for i, page in rows.items() if page)
+    assert same >= 0.95 * sum(bool(page) for page in rows.values()), same
+
+
 # op2
 
 
