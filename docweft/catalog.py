@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docweft.plans import capacity, chunking, documents, evidence, records, runlog, search, text
+from docweft.plans import capacity, chunking, documents, evidence, experts, records, runlog, search, text
 
 FLAGSHIP = "bm25_search"
-_ALL: dict = {**text.QUERIES, **search.QUERIES, **runlog.QUERIES, **documents.QUERIES, **records.QUERIES, **chunking.QUERIES, **evidence.QUERIES, **capacity.QUERIES}
+_ALL: dict = {**text.QUERIES, **search.QUERIES, **runlog.QUERIES, **documents.QUERIES, **records.QUERIES, **chunking.QUERIES, **evidence.QUERIES, **capacity.QUERIES, **experts.QUERIES}
 QUERIES = {name: q[0] for name, q in _ALL.items()}
 ORACLE_SQL = {name: q[1] for name, q in _ALL.items() if q[1]}
