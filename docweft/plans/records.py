@@ -38,7 +38,7 @@ CAND = P.BASE + """lists AS (SELECT query_id, 'bm25' AS source, rank, doc_id FRO
 cand AS (SELECT query_id, doc_id, source, round(1.0::DOUBLE / rank, 6) AS score, round(1.0::DOUBLE / (rank + 1.0::DOUBLE), 6) AS confidence FROM lists)
 """
 NAMES = r"SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]{3,}\b')) AS name FROM documents"
-ENT = f"WITH w AS ({NAMES}), ent AS (SELECT 'ent-' || substr(sha256(name), 1, 16) AS entity_id, name, count(DISTINCT doc_id) AS n_docs, count(*) AS n_mentions FROM w GROUP BY name HAVING count(DISTINCT doc_id) BETWEEN 3 AND 50)"
+ENT = f"WITH w AS ({NAMES}), ent AS (SELECT 'ent-' || substr(sha256(name), 1, 16) AS entity_id, name, count(DISTINCT doc_id) AS n_docs, count(*) AS n_mentions FROM w GROUP BY name HAVING count(DISTINCT doc_id) >= 3)"
 TOK = "list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')"
 VALUES = ", ".join(f"('{a}', '{b}')" for a, b in R.DEPENDS)
 
