@@ -30,7 +30,7 @@ def millis(ts: Column | str) -> Column:
 
 
 def validate(events: DataFrame) -> DataFrame:
-    """event_id, reason (null if valid): unknown type, missing run or time, negative value, payload no JSON object or too large."""
+    """event_id, reason (null if valid): unknown type, missing run or time, value below 1, payload no JSON object or too large."""
     reason = (
         F.when(lookup(F.col("event_type"), STATUS).isNull(), "unknown_type")
         .when(F.col("user_id").isNull() | F.col("ts").isNull(), "missing_field")
@@ -46,8 +46,8 @@ def classify(log: DataFrame) -> DataFrame:
 
 
 def dedupe(log: DataFrame) -> DataFrame:
-    """The first event of each run, status and day."""
-    first = Window.partitionBy("run_id", "status", F.to_date("ts")).orderBy("event_id")
+    """The first event of each idempotency key: run, status, time, value and payload; a retried send repeats them under a later id."""
+    first = Window.partitionBy("run_id", "status", "ts", "value", "payload").orderBy("event_id")
     return log.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
 
 

@@ -16,7 +16,8 @@ INJECTION = (
     r"new\s+role:\s*",
     r"bypass\s+restrictions",
 )
-STOP_WORDS = ("about", "after", "again", "before", "being", "could", "every", "other", "should", "their", "there", "these", "those", "under", "where", "which", "while", "would")
+#: Words that are no keywords.
+STOP_WORDS = ("about", "above", "after", "again", "against", "along", "could", "would", "should", "their", "there", "these", "those", "under", "which", "while")
 LINES_A_PAGE = 5
 
 
@@ -75,14 +76,15 @@ def sections(blocks: DataFrame) -> DataFrame:
 
 
 def route(docs: DataFrame) -> DataFrame:
-    """DIGITAL or SCANNED, from the first five pages: characters a page, coherence of their text, share of empty pages."""
+    """DIGITAL or SCANNED, from the first five pages: characters a page, share of pages without text (over 40 %: scanned), coherence of their text."""
     text = T.text_of("text")
     lines = F.split(text, "\n")
     first = F.array_join(F.slice(lines, 1, 5 * LINES_A_PAGE), "\n")
     pages = F.least(F.lit(5), F.ceil(F.size(lines) / LINES_A_PAGE).cast("int"))
     chars = F.length(F.regexp_replace(first, r"\s", "")) / pages
-    measured = docs.select("doc_id", pages.alias("pages"), chars.alias("chars_a_page"), coherence(first).alias("coherence"))
-    reason = F.when(F.col("chars_a_page") < 30, "few characters").when(F.col("coherence") < 50, "incoherent text").otherwise("text layer")
+    blank = F.filter(F.sequence(F.lit(1), pages), lambda k: F.regexp_replace(F.array_join(F.slice(lines, (k - 1) * LINES_A_PAGE + 1, LINES_A_PAGE), ""), r"\s", "") == "")
+    measured = docs.select("doc_id", pages.alias("pages"), chars.alias("chars_a_page"), F.round(F.size(blank) / pages, 4).alias("empty_share"), coherence(first).alias("coherence"))
+    reason = F.when(F.col("chars_a_page") < 30, "few characters").when(F.col("empty_share") > 0.4, "empty pages").when(F.col("coherence") < 50, "incoherent text").otherwise("text layer")
     return measured.withColumn("reason", reason).withColumn("route", F.when(F.col("reason") == "text layer", "DIGITAL").otherwise("SCANNED"))
 
 

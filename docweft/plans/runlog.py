@@ -47,8 +47,9 @@ QUERIES = {
     ),
     "classify_events": (lambda s, d: R.classify(log(s, d)), LOG + f" SELECT event_id, status, CASE status {CATS} END AS category FROM log"),
     "dedupe_events": (
-        lambda s, d: R.dedupe(log(s, d)).select("run_id", "event_id", "status"),
-        LOG + " SELECT run_id, event_id, status FROM log QUALIFY row_number() OVER (PARTITION BY run_id, status, ts::DATE ORDER BY event_id) = 1",
+        # every third event is sent twice
+        lambda s, d: R.dedupe(log(s, d).unionByName(log(s, d).filter("event_id % 3 = 0").withColumn("event_id", F.col("event_id") + 1_000_000_000))).select("run_id", "event_id", "status"),
+        LOG + ", twice AS (SELECT * FROM log UNION ALL SELECT * REPLACE (event_id + 1000000000 AS event_id) FROM log WHERE event_id % 3 = 0) SELECT run_id, event_id, status FROM twice QUALIFY row_number() OVER (PARTITION BY run_id, status, ts, value, payload ORDER BY event_id) = 1",
     ),
     "reconstruct_state": (lambda s, d: R.state(log(s, d)), LOG + STATE),
     "state_as_of": (lambda s, d: R.state(log(s, d), until_event=2000), LOG.replace("FROM events", "FROM events WHERE event_id <= 2000") + STATE),

@@ -73,9 +73,9 @@ QUERIES = {
     "route_documents": (
         lambda s, d: X.route(t(s, d, "documents")),
         rf"""SELECT *, CASE WHEN reason = 'text layer' THEN 'DIGITAL' ELSE 'SCANNED' END AS route FROM (
-SELECT *, CASE WHEN chars_a_page < 30 THEN 'few characters' WHEN coherence < 50 THEN 'incoherent text' ELSE 'text layer' END AS reason FROM (
-SELECT doc_id, pages, length(regexp_replace(f, '\s', '', 'g'))::DOUBLE / pages AS chars_a_page, {COHERENCE.format(c="f")} AS coherence FROM (
-SELECT doc_id, least(5, ceil(len(string_split(text, chr(10)))::DOUBLE / 5))::INTEGER AS pages, array_to_string(list_slice(string_split(text, chr(10)), 1, 25), chr(10)) AS f FROM documents)))""",
+SELECT *, CASE WHEN chars_a_page < 30 THEN 'few characters' WHEN empty_share > 0.4 THEN 'empty pages' WHEN coherence < 50 THEN 'incoherent text' ELSE 'text layer' END AS reason FROM (
+SELECT doc_id, pages, length(regexp_replace(f, '\s', '', 'g'))::DOUBLE / pages AS chars_a_page, round(len(list_filter(range(1, pages + 1), lambda k: regexp_replace(array_to_string(list_slice(l, (k - 1) * 5 + 1, k * 5), ''), '\s', '', 'g') = ''))::DOUBLE / pages, 4)::DOUBLE AS empty_share, {COHERENCE.format(c="f")} AS coherence FROM (
+SELECT doc_id, string_split(text, chr(10)) AS l, least(5, ceil(len(string_split(text, chr(10)))::DOUBLE / 5))::INTEGER AS pages, array_to_string(list_slice(string_split(text, chr(10)), 1, 25), chr(10)) AS f FROM documents)))""",
     ),
     "quality_confusion": (
         lambda s, d: X.confusion(X.quality(t(s, d, "documents")).select("doc_id", (F.col("score") >= 70).cast("int").alias("predicted")), t(s, d, "labels").select("doc_id", F.col("quality").alias("expected"))),
