@@ -25,20 +25,38 @@ def index_stats(docs: DataFrame) -> DataFrame:
     return sizes.agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.round(F.avg("n"), 6).alias("avg_length"))
 
 
+#: A term that every document has: its postings give the number of documents and their lengths. No token is empty.
+EVERY = ""
+#: Tables of so many asked terms are sent to all tasks; larger ones are joined by shuffles.
+MOST_TERMS = 500_000
+
+
+def asked_terms(terms: DataFrame) -> DataFrame:
+    """The different terms of the queries, to be broadcast if they are counted to be few."""
+    one = terms.select("term").distinct()
+    return F.broadcast(one) if one.limit(MOST_TERMS + 1).count() <= MOST_TERMS else one
+
+
+def asked_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, term, length, tf of the asked terms and of EVERY; other tokens go before anything is shuffled."""
+    tokens = docs.select("doc_id", T.tokens("text").alias("terms"))
+    each = tokens.select("doc_id", F.size("terms").alias("length"), F.explode(F.concat(F.array(F.lit(EVERY)), "terms")).alias("term"))
+    kept = each.join(asked_terms(terms.select("term").union(terms.sparkSession.range(1).select(F.lit(EVERY)))), "term", "left_semi")
+    return kept.groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 30, b: float = 0.75, k1: float = 1.5) -> DataFrame:
     """query_id, rank, doc_id, score of the k best documents of each query (query_id, text); any term may match.
 
-    idf is ln(1 + (N - df + 0.5) / (df + 0.5)). Only terms of queries leave the scan: the different terms, a small table beside
-    the postings, are joined before anything is shuffled. Ties go to the smaller doc_id.
+    idf is ln(1 + (N - df + 0.5) / (df + 0.5)). Only terms of queries leave the scan (see asked_postings). Ties go to the smaller doc_id.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens("text"))).alias("term"))
-    tokens = docs.select("doc_id", T.tokens("text").alias("terms"))
-    sized = tokens.select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    asked = terms.select("term").distinct()
-    found = sized.join(asked, "term", "left_semi").groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
-    stats = docs.select(F.size(T.tokens("text")).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_length"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = found.join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
+    found = asked_postings(docs, terms)
+    # All three uses read the same columns, so that texts are read and split once.
+    real = F.col("term") != EVERY
+    stats = found.filter(~real).agg(F.sum("tf").alias("n_docs"), F.avg(F.col("length") * F.col("tf")).alias("avg_length"))
+    df = found.filter(real).groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(F.col("length"))).alias("df"))
+    weighted = found.filter(real).join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1.0 - b + b * F.col("length") / F.col("avg_length"))
     scored = weighted.select("term", "doc_id", (idf * F.col("tf") * (k1 + 1.0) / norm).alias("w")).join(terms, "term")
@@ -47,11 +65,18 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 30, b: float = 0.75, k1:
 
 
 def keyword_search(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id of the documents that have every token of the query."""
-    terms = queries.select("query_id", F.array_distinct(T.tokens("text")).alias("terms")).withColumn("n", F.size("terms")).select("query_id", "n", F.explode("terms").alias("term"))
-    own = docs.select("doc_id", F.explode(F.array_distinct(T.tokens("text"))).alias("term"))
-    met = own.join(terms, "term").groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("c"))
-    return met.filter("c = n").select("query_id", "doc_id")
+    """query_id, doc_id of the documents that have every token of the query.
+
+    A query meets documents by its rarest term only; the others are tested on what else each document has of all asked terms.
+    """
+    asked = queries.select("query_id", F.array_distinct(T.tokens("text")).alias("terms")).filter(F.size("terms") > 0)
+    terms = asked.select("query_id", F.explode("terms").alias("term"))
+    own = docs.select("doc_id", F.explode(F.array_distinct(T.tokens("text"))).alias("term")).join(asked_terms(terms), "term", "left_semi")
+    df = own.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = terms.join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    have = own.groupBy("doc_id").agg(F.collect_set("term").alias("have"))
+    met = own.join(rarest, "term").select("query_id", "doc_id").join(asked, "query_id").join(have, "doc_id")
+    return met.filter(F.size(F.array_except("terms", "have")) == 0).select("query_id", "doc_id")
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 15, least: float | None = 0.3) -> DataFrame:

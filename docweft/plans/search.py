@@ -16,8 +16,10 @@ def asked(s, d):
 def truth(s, d):
     """Documents that contain the query. The first word's documents are joined first, so that the test runs on few pairs."""
     rare = asked(s, d).withColumn("term", F.get(T.tokens("text"), F.lit(0)))
-    docs = t(s, d, "documents").select("doc_id", "text").withColumn("term", F.explode(F.array_distinct(T.tokens("text"))))
-    return docs.withColumnRenamed("text", "doc").join(rare, "term").filter(F.contains("doc", "text")).select("query_id", "doc_id").distinct()
+    docs = t(s, d, "documents").select("doc_id", "text")
+    each = docs.select("doc_id", F.explode(F.array_distinct(T.tokens("text"))).alias("term")).join(S.asked_terms(rare), "term", "left_semi")
+    pairs = each.join(rare, "term").select("query_id", "doc_id", "text").distinct()
+    return pairs.join(docs.withColumnRenamed("text", "doc"), "doc_id").filter(F.contains("doc", "text")).select("query_id", "doc_id").distinct()
 
 
 def bm25(s, d, k=10):
