@@ -132,10 +132,17 @@ def distribution(df: DataFrame, by: str, col: str) -> DataFrame:
 
 
 def rolling_rates(log: DataFrame, seconds: tuple[int, ...] = (600, 1800, 3600)) -> DataFrame:
-    """event_id and, for each window, the events of the last so many seconds in the same hash shard of runs."""
-    out = log.select("event_id", (F.col("run_id") % 16).alias("shard"), millis("ts").alias("ms"))
-    own = Window.partitionBy("shard").orderBy("ms")
-    return out.select("event_id", *[F.count("*").over(own.rangeBetween(-s * 1000, 0)).alias(f"last_{s}s") for s in seconds])
+    """event_id and, for each window, the events of the last so many seconds in the same hash shard of runs.
+
+    Time is cut into spans as long as the longest window; each event is also put into the span after its own, so that a
+    window never looks beyond its span, and spans, not shards, are what tasks share.
+    """
+    span = max(seconds) * 1000
+    each = log.select("event_id", (F.col("run_id") % 16).alias("shard"), millis("ts").alias("ms")).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    each = each.withColumn("span", F.floor(F.col("ms") / span) + F.col("k"))
+    own = Window.partitionBy("shard", "span").orderBy("ms")
+    counted = each.select("event_id", "k", *[F.count("*").over(own.rangeBetween(-s * 1000, 0)).alias(f"last_{s}s") for s in seconds])
+    return counted.filter("k = 0").drop("k")
 
 
 def recovery_delay(log: DataFrame) -> DataFrame:
@@ -166,10 +173,13 @@ def health(log: DataFrame) -> DataFrame:
 
 def ewma(log: DataFrame, alpha: float = 0.15, providers: int = 10) -> DataFrame:
     """Exponentially weighted success of each provider (run mod `providers`), from 100: a fold written as a weighted sum."""
-    ended = log.filter("status in ('completed', 'failed')").withColumn("provider", F.col("run_id") % providers)
-    back = F.row_number().over(Window.partitionBy("provider").orderBy(F.desc("ts"), F.desc("event_id")))
+    ended = log.filter("status in ('completed', 'failed')").withColumn("provider", F.col("run_id") % providers).withColumn("day", F.to_date("ts"))
+    # How many are newer: those of later days, counted by day, and those of its own day.
+    days = ended.groupBy("provider", "day").agg(F.count("*").alias("c"))
+    newer = days.select("provider", "day", F.coalesce(F.sum("c").over(Window.partitionBy("provider").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("newer"))
+    back = F.row_number().over(Window.partitionBy("provider", "day").orderBy(F.desc("ts"), F.desc("event_id"))) + F.col("newer")
     x = F.when(F.col("status") == "completed", 100.0).otherwise(0.0)
-    weighed = ended.withColumn("r", back).withColumn("w", alpha * F.pow(F.lit(1 - alpha), F.col("r") - 1) * x)
+    weighed = ended.join(newer, ["provider", "day"]).withColumn("r", back).withColumn("w", alpha * F.pow(F.lit(1 - alpha), F.col("r") - 1) * x)
     return weighed.groupBy("provider").agg(F.count("*").alias("n"), F.round(F.sum("w") + 100.0 * F.pow(F.lit(1 - alpha), F.count("*")), 4).alias("score"))
 
 

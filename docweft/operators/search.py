@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,17 +81,48 @@ def keyword_search(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return met.filter(F.size(F.array_except("terms", "have")) == 0).select("query_id", "doc_id")
 
 
+#: A block product takes so many queries and vectors.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 20_000
+
+
+def block_products(k: int, least: float | None):
+    """Of two blocks of unit vectors, the pairs that can be among the k best of their query; scores are not rounded yet."""
+
+    def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for n in set(map(len, queries["v"])) & set(map(len, vectors["v"])) if len(queries) and len(vectors) else ():
+            q, v = queries[queries["v"].map(len) == n], vectors[vectors["v"].map(len) == n]
+            ids, mine = v["vec_id"].to_numpy(), np.stack(v["v"].to_numpy())
+            for a in range(0, len(q), 128):
+                part = q.iloc[a : a + 128]
+                scores = np.stack(part["v"].to_numpy()) @ mine.T
+                for query, row in zip(part["vec_id"].to_numpy(), scores):
+                    row[ids == query] = -np.inf
+                    floor = -np.inf if least is None else least - 1e-4
+                    if len(row) > k:
+                        floor = max(floor, np.partition(row, -k)[-k] - 1e-4)  # what rounding can make equal stays
+                    good = np.flatnonzero((row >= floor) & (row > -np.inf))
+                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[good], "score": row[good]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+
+    return run
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 15, least: float | None = 0.3) -> DataFrame:
     """query_id, rank, vec_id, score: the k best cosines (4 dp) at `least` or more. Both tables: vec_id, embedding; a query never finds itself.
 
-    Vectors are divided by their length once; each pair then costs one dot product. Queries are joined to vectors in full, so the
-    query table is the side to keep small; it is broadcast only as long as Spark finds it below its threshold.
+    Every query meets every vector by definition: they are dealt into a grid of blocks, whose products are taken in numpy,
+    and a block gives no more than each query's k best (and what is level with them).
     """
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     unit = lambda df: df.withColumn("n", norm(F.col("embedding"))).filter("n > 0").select("vec_id", F.transform("embedding", lambda x: x.cast("double") / F.col("n")).alias("v"))
-    q = unit(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    pairs = q.join(unit(vectors), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(dot, 4).alias("score"))
+    rows, cols = (max(1, -(-df.count() // most)) for df, most in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = unit(queries).withColumn("r", own(rows)).withColumn("c", every(cols))
+    v = unit(vectors).withColumn("c", own(cols)).withColumn("r", every(rows))
+    pairs = q.groupBy("r", "c").cogroup(v.groupBy("r", "c")).applyInPandas(block_products(k, least), "query_id long, vec_id long, score double")
+    pairs = pairs.withColumn("score", F.round("score", 4))
     if least is not None:
         pairs = pairs.filter(F.col("score") >= least)
     return top(pairs, "query_id", k, F.desc("score"), F.col("vec_id")).select("query_id", "rank", "vec_id", "score")
