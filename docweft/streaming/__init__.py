@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,22 +32,22 @@ def exactly_once(log: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 class RunState(StatefulProcessor):
-    """Folds a run's events into status, last event and counts; heartbeats don't change the status."""
+    """Folds a run's events into status, last event and counts; heartbeats don't change the status, nor do events older than the one that set it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "status string, last_event long, completed long, failed long")
+        self.state = handle.getValueState("state", "status string, told_by long, last_event long, completed long, failed long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, last, completed, failed = self.state.get() if self.state.exists() else ("unknown", -1, 0, 0)
+        status, told_by, last, completed, failed = self.state.get() if self.state.exists() else ("unknown", -1, -1, 0, 0)
         for batch in rows:
             batch = batch.sort_values("event_id")
             completed += int((batch["status"] == "completed").sum())
             failed += int((batch["status"] == "failed").sum())
             told = batch[batch["status"] != "heartbeat"]
-            if len(told):
-                status = told["status"].iloc[-1]
+            if len(told) and int(told["event_id"].iloc[-1]) > told_by:
+                status, told_by = told["status"].iloc[-1], int(told["event_id"].iloc[-1])
             last = max(last, int(batch["event_id"].max()))
-        self.state.update((status, last, completed, failed))
+        self.state.update((status, told_by, last, completed, failed))
         yield pd.DataFrame({"run_id": [key[0]], "status": [status], "last_event": [last], "completed": [completed], "failed": [failed]})
 
     def close(self) -> None:
@@ -68,11 +69,12 @@ class Limiter(StatefulProcessor):
         self.held = handle.getListState("held", "ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [x[0] for x in self.held.get()]
+        held = deque(x[0] for x in self.held.get())  # in order of time
         batch = pd.concat(list(rows)).sort_values(["ms", "event_id"])
         allowed = []
         for ms in batch["ms"]:
-            held = [x for x in held if ms - x < self.millis]
+            while held and ms - held[0] >= self.millis:
+                held.popleft()
             allowed.append(len(held) < self.most)
             if allowed[-1]:
                 held.append(ms)

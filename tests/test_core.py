@@ -197,3 +197,49 @@ def test_ablation_is_the_mean_by_configuration(spark):
     got = {r["config"]: (r["n_queries"], r["recall_5"], r["mrr"]) for r in evidence.ablation(spark.createDataFrame(rows, "config string, recall_5 double, mrr double")).collect()}
     assert got == {"a": (2, 0.5, 0.375), "b": (1, 0.5, 1.0), None: (3, 0.5, 0.583333)}
     assert evidence.ablation(spark.createDataFrame([], "config string, recall_5 double, mrr double")).count() <= 1
+
+
+class Held:
+    """A state handle that keeps values in memory, for the processors' logic alone."""
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    getListState = getValueState  # noqa: N815
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value or []
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+
+def test_run_state_of_late_events():
+    state = streaming.RunState()
+    state.init(Held())
+    batch = lambda *rows: iter([pd.DataFrame(rows, columns=["event_id", "status"])])
+    first = next(state.handleInputRows((1,), batch((1, "queued"), (5, "completed")), None))
+    late = next(state.handleInputRows((1,), batch((3, "running"), (6, "heartbeat")), None))
+    assert first["status"][0] == late["status"][0] == "completed" and late["last_event"][0] == 6 and late["completed"][0] == 1
+
+
+def test_limiter_against_brute_force():
+    limiter = streaming.Limiter(2, 1000)
+    limiter.init(Held())
+    times = [0, 10, 20, 900, 1005, 1011, 1500, 2010, 2011, 2012]
+    got = []
+    for part in (times[:4], times[4:]):
+        rows = pd.DataFrame({"client": 1, "event_id": range(len(part)), "ms": part})
+        got += next(limiter.handleInputRows((1,), iter([rows]), None))["allowed"].tolist()
+    held, want = [], []
+    for ms in times:
+        want.append(sum(ms - x < 1000 for x in held) < 2)
+        if want[-1]:
+            held.append(ms)
+    assert got == want and True in got and False in got
