@@ -209,7 +209,7 @@ def window_rows(docs: DataFrame, anchors: DataFrame, length: int, period: int, n
         if held:
             yield send()
 
-    return texts(docs).join(anchors, "doc_id", "left").mapInArrow(run, PACKED)
+    return texts(docs).join(anchors, "doc_id").mapInArrow(run, PACKED)
 
 
 def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
@@ -226,7 +226,7 @@ def dedup(docs: DataFrame, length: int = 20, period: int = 13, digest: bool = Fa
 
     A word goes if a window of `length` words that covers it also starts earlier: in a document with a smaller id or earlier
     in its own. Words are runs without ASCII white space, unchanged. Null and empty texts have no words. Rows with one id
-    are at the same place: none is earlier than the other by that; rows with a null id lose nothing and precede nothing. An empty
+    are at the same place: none is earlier than the other by that, and what is told to an id holds for all its rows; rows with a null id lose nothing and precede nothing. An empty
     table gives an empty result. Other columns are not looked at.
     """
     n = 4 * tasks(docs.sparkSession)
