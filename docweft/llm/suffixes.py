@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.llm import bytehash as bh
-from docweft.llm.common import cut, table, tasks
+from docweft.llm.common import cut, small, table, tasks
 from docweft.llm.substrings import TOLD, nth_of_kind, pack, texts, unpack
 
 ROWS = "bucket int, f long, doc_id long, place long, off int, seg binary, h binary, doc binary, at binary"
@@ -175,7 +175,7 @@ def surroundings(docs: DataFrame, told: DataFrame, length: int, width: int, n: i
             m = packed.num_rows
             yield pa.RecordBatch.from_arrays([packed.column(0), *[pa.nulls(m, pa.int64())] * 3, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *packed.columns[1:]], names=NAMES)
 
-    return texts(docs).join(told, "doc_id", "left").mapInArrow(run, ROWS)
+    return texts(docs).join(told, "doc_id").mapInArrow(run, ROWS)
 
 
 def told_ranges(doc: np.ndarray, ranges: np.ndarray) -> pa.Table:
@@ -228,10 +228,11 @@ def dedup(docs: DataFrame, length: int = 400, width: int = 128, heavy: int = 20_
     reach. Rows with a null id lose nothing and repeat nothing. An empty table gives an empty result. Other columns are
     not looked at.
     """
-    n = 4 * tasks(docs.sparkSession)
     rows = cut(anchor_rows(docs, length, width))
+    n = max(4 * tasks(docs.sparkSession), rows.count() // 100_000)  # so a bucket doesn't grow with the input
     shared = rows.groupBy("f").agg(F.count("*").alias("c")).filter("c > 1").select("f", (F.col("c") > heavy).cast("long").alias("heavy"))
-    told = rows.join(shared, "f").groupBy("doc_id").agg(F.collect_list(F.col("at") * 2 + F.col("heavy")).alias("told"))
+    # A table of its own: it is sent to all tasks if it is small; else Spark can split a hot anchor's rows in the join.
+    told = rows.join(small(cut(shared)), "f").groupBy("doc_id").agg(F.collect_list(F.col("at") * 2 + F.col("heavy")).alias("told"))
     found = repeated(surroundings(docs, told, length, width, n), length).groupBy("doc_id").agg(F.collect_list("told").alias("told"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
