@@ -441,3 +441,59 @@ def test_empty_tables(docs, spark):
     none = docs.limit(0)
     assert lines.dedup_lines(none).count() == neardup.classes_of(none).count() == substrings.dedup(none).count() == suffixes.dedup(none).count() == 0
     assert quality.judge(none, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+# rows that repeat an id, rows without one, columns with names that the operators use
+
+
+def letters(k, n):
+    return "".join(hashlib.sha256(f"{k}-{i}".encode()).hexdigest() for i in range(n // 64 + 1))[:n]
+
+
+def test_repeated_and_null_ids(spark):
+    a, b = letters("a", 500), letters("b", 700)
+    rows = [(1, a + letters("x", 300)), (1, a + letters("y", 300)), (None, a), (2, b), (2, b), (3, None), (3, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'z' as kept", "7 as n_bytes", "1L as n_words", "'q' as told", "'r' as lang")
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixes.dedup(table).collect())
+    assert got == [("1", 800, 500, 1), ("1", 800, 500, 1), ("2", 700, 700, 1), ("2", 700, 700, 1), ("3", 0, 0, 0), ("3", 0, 0, 0), ("None", 500, 0, 0)]
+    words = [" ".join(f"w{hashlib.md5(f'{k}{i}'.encode()).hexdigest()[:5]}" for i in range(40)) for k in "cd"]
+    rows = [(5, words[0]), (6, words[0]), (6, words[1]), (None, words[0]), (None, words[0]), (7, words[1] + " " + words[1])]
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_removed", "'z' as told")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substrings.dedup(table).collect())
+    # what is told to id 6 holds for both its rows
+    assert got == [("5", 40, 0), ("6", 40, 40), ("6", 40, 40), ("7", 80, 80), ("None", 40, 0), ("None", 40, 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as component_id", "2 as n", "3 as f1", "4 as id")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in neardup.classes_of(table).collect())
+    # both texts of id 6 link what each of them links; the last text repeats the shingles of its first half and has four more
+    assert [(i, n) for i, n, _ in got] == [("5", 36), ("6", 36), ("6", 36), ("7", 40), ("None", 36), ("None", 36)]
+    assert {c for i, _, c in got if i in ("5", "6")} <= {5, 6}
+
+
+def test_toxicity_of_very_long_and_odd_texts(spark):
+    rows = [(i, ("vile mud " if i % 2 else "calm sea ") * 20, i % 2) for i in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
+    odd = spark.createDataFrame([(1, "vile mud " * 200_000), (2, "\u0437\u043b\u043e \U0001f600"), (2, None), (None, "")], "doc_id long, text string").selectExpr("*", "1 as score", "2 as predicted", "'x' as toxic")
+    got = toxicity.score(odd, model).collect()
+    assert [r["predicted"] for r in got if r["doc_id"] == 1] == [1] and len(got) == 4 and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.score(odd.limit(0), model).count() == 0 and toxicity.clean(odd, model).columns == odd.columns
+
+
+def test_lines_with_clashing_columns_and_a_very_long_line(spark):
+    long = "x" + letters("l", 120_000)
+    rows = [(1, long + "\nshort line here"), (2, "y" + long[1:] + "\nshort line here"), (None, long), (3, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "5 as n_lines", "6 as n_removed", "'b' as band", "1 as removed", "2 as of_doc")
+    got = {str(r["doc_id"]): r for r in lines.dedup_lines(table, counts=True).collect()}
+    assert got["1"]["text"] == rows[0][1] and got["2"]["text"] == "" and (got["2"]["n_lines"], got["2"]["n_removed"]) == (2, 2)
+    assert got["None"]["text"] == long and got["3"]["text"] is None and got["1"]["removed"] == 1 and got["1"]["of_doc"] == 2
+
+
+def test_components_of_a_hub_and_of_a_path(spark):
+    from docweft.llm.components import components, merged
+
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7), (None, 3), (5, 0)]
+    found = components(spark.createDataFrame(edges, "u long, v long"))
+    got = {r["id"]: r["component"] for r in found.collect()}
+    assert got == {**{i: 0 for i in range(400)}, **{1000 + i: 1000 for i in range(61)}}
+    more = {r["id"]: r["component"] for r in merged(found, spark.createDataFrame([(3, 1040), (5000, 4000)], "u long, v long")).collect()}
+    assert more == {**{i: 0 for i in range(400)}, **{1000 + i: 0 for i in range(61)}, 5000: 4000, 4000: 4000}
