@@ -48,6 +48,30 @@ m AS (SELECT id AS doc_id, min(c) AS component_id FROM r GROUP BY id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, lang AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+x AS (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+again AS (SELECT doc_id, i FROM x QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY 1),
+s AS (SELECT l.doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM l LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed, word_chars::DOUBLE / greatest(n_words, 1) / 50.0::DOUBLE AS mean FROM s),
+r AS (SELECT doc_id, stratum, base_failed, rule, floor(least(greatest(score, 0.0), 1.0) * 400)::INTEGER AS step FROM (SELECT doc_id, stratum, base_failed,
+        unnest([{'rule': 1, 'score': n_symbols::DOUBLE / greatest(n_words, 1)}, {'rule': 2, 'score': n_dup_lines::DOUBLE / greatest(n_lines, 1)}, {'rule': 3, 'score': n_repeat_words::DOUBLE / greatest(n_words, 1)},
+                {'rule': 4, 'score': mean}, {'rule': 5, 'score': 1.0::DOUBLE - least(mean, 1.0)}], recursive := true) FROM b)),
+g AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1),
+c AS (SELECT stratum, rule, step, count(*) AS c FROM r JOIN g USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+a AS (SELECT *, sum(c) OVER (PARTITION BY stratum, rule ORDER BY step DESC) AS rejected, sum(c) OVER (PARTITION BY stratum, rule) AS n FROM c),
+e AS (SELECT stratum, rule, any_value(n)::BIGINT AS n, count(*) OVER () AS tests FROM a GROUP BY stratum, rule),
+p AS (SELECT stratum, rule, 0.05::DOUBLE / tests AS error, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.02::DOUBLE / 5) + (n - k) * ln(1 - 0.02::DOUBLE / 5))) OVER (PARTITION BY stratum, rule ORDER BY k) AS total
+      FROM (SELECT *, unnest(range(0, ceil(n * 0.02::DOUBLE / 5)::BIGINT + 1)) AS k FROM e) WHERE k <= n),
+m AS (SELECT stratum, rule, coalesce(max(k) FILTER (total <= error), -1) AS k FROM p GROUP BY ALL),
+q AS (SELECT m.stratum, m.rule, CASE WHEN m.k < 0 THEN 401 ELSE coalesce(max(a.step) FILTER (a.rejected > m.k) + 1, 0) END AS cutoff FROM m JOIN a ON a.rule = m.rule AND a.stratum IS NOT DISTINCT FROM m.stratum GROUP BY m.stratum, m.rule, m.k),
+v AS (SELECT DISTINCT doc_id FROM r JOIN q ON q.rule = r.rule AND q.stratum IS NOT DISTINCT FROM r.stratum WHERE step >= cutoff)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND v.doc_id IS NULL AS kept FROM b LEFT JOIN v USING (doc_id)
+"""
+
 OP10_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
@@ -59,4 +83,4 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 """
 
 QUERIES = {"op1_html_extraction": extraction.op1, "op2_line_dedup": lines.op2, "op3_topk": topk.op3, "op4_toxicity": toxicity.op4, "op5_minhash_near_dedup": neardup.op5, "op6_mix_sources": mixing.op6, "op7_quality_rules": quality.op7, "op8_suffix_dedup": suffixes.op8, "op9_bpe": bpe.op9, "op10_substring_dedup": substrings.op10}
-ORACLE_SQL = {"op3_topk": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_mix_sources": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL = {"op3_topk": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_mix_sources": OP6_SQL, "op7_quality_rules": OP7_SQL, "op10_substring_dedup": OP10_SQL}
