@@ -70,6 +70,20 @@ def first_half(log: DataFrame) -> DataFrame:
     return log.join(F.broadcast(point), F.col("event_id") <= F.col("_point")).drop("_point")
 
 
+def second_half(log: DataFrame) -> DataFrame:
+    """The events after those of first_half."""
+    point = log.agg(F.floor(F.max("event_id") / 2).alias("_point"))  # one row
+    return log.join(F.broadcast(point), F.col("event_id") > F.col("_point")).drop("_point")
+
+
+def until_middle(log: DataFrame) -> DataFrame:
+    """The events up to the middle of the log's time: an as-of time that moves with the log."""
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    timed = log.withColumn("_us", us)
+    point = timed.agg(F.expr("(min(_us) + max(_us)) div 2").alias("_point"))  # one row
+    return timed.join(F.broadcast(point), F.col("_us") <= F.col("_point")).drop("_us", "_point")
+
+
 def snapshot(states: DataFrame) -> DataFrame:
     """run_id and the checksum of its state."""
     text = F.concat_ws("|", "status", F.col("last_event").cast("string"), F.col("completed").cast("string"), F.col("failed").cast("string"))

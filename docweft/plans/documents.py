@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docweft import functions as T
 from docweft import sources as O
 from docweft.operators import answers as A
 from docweft.operators import graph as G
@@ -31,8 +32,11 @@ def seeds(s, d):
 
 
 def hits(s, d):
-    found = P.bm25(s, d).filter("rank <= 3").select("query_id", "doc_id", "score")
-    return found.join(nodes(s, d).filter("pos % 4 = 1").select("doc_id", "pos"), "doc_id")
+    """The blocks of each query's documents that have one of its longer words."""
+    words = F.explode(F.array_distinct(T.tokens("text")))
+    long = P.asked(s, d).select("query_id", words.alias("term")).filter("length(term) >= 8")
+    found = P.bm25(s, d).select("query_id", "doc_id", "score").join(nodes(s, d).select("doc_id", "pos", words.alias("term")), "doc_id")
+    return found.join(long, ["query_id", "term"], "left_semi").select("query_id", "doc_id", "pos", "score").distinct()
 
 
 def ranked(s, d):
@@ -106,8 +110,8 @@ QUERIES = {
     "layout_nodes": (nodes, B + " SELECT * FROM n"),
     "layout_edges": (edges, E + " SELECT * FROM e"),
     "repair_graph": (
-        lambda s, d: G.repair(nodes(s, d).filter("page <> 2").withColumn("node_id", F.when(F.col("pos") % 6 != 5, F.concat(F.lit("n"), F.floor(F.col("pos") / 2))))),
-        B + """, r AS (SELECT doc_id, CASE WHEN pos % 6 <> 5 THEN 'n' || (pos // 2) END AS node_id, page, pos FROM n WHERE page <> 2)
+        lambda s, d: G.repair(nodes(s, d).withColumn("page", F.col("page") * 2).withColumn("node_id", F.when(F.col("pos") % 6 != 5, F.concat(F.lit("n"), F.floor(F.col("pos") / 2))))),
+        B + """, r AS (SELECT doc_id, CASE WHEN pos % 6 <> 5 THEN 'n' || (pos // 2) END AS node_id, page * 2 AS page, pos FROM n)
 SELECT doc_id, CASE WHEN node_id IS NULL OR row_number() OVER (PARTITION BY doc_id, node_id ORDER BY pos) > 1 THEN concat_ws('_', coalesce(node_id, 'node'), pos) ELSE node_id END AS node_id,
   dense_rank() OVER (PARTITION BY doc_id ORDER BY page)::INTEGER AS page, pos FROM r""",
     ),
@@ -135,7 +139,7 @@ SELECT doc_id, node_id, min(depth) AS depth FROM r GROUP BY ALL""",
     ),
     "expand_neighbours": (
         lambda s, d: G.expand(hits(s, d), nodes(s, d)),
-        P.BASE + f"""b AS ({BLOCKS}), h AS (SELECT query_id, doc_id, pos, score FROM bm JOIN b USING (doc_id) WHERE rank <= 3 AND pos % 4 = 1),
+        P.BASE + f"""b AS ({BLOCKS}), h AS (SELECT DISTINCT query_id, doc_id, pos, score FROM (SELECT query_id, doc_id, pos, score, unnest({P.TOKENS.format(c='b.text')}) AS term FROM bm JOIN b USING (doc_id)) JOIN terms USING (query_id, term) WHERE length(term) >= 8),
 g AS (SELECT query_id, doc_id, pos + o AS pos, score * w AS score FROM h, (VALUES (0, 1.0::DOUBLE), (-1, 0.8::DOUBLE), (1, 0.8::DOUBLE), (-2, 0.56::DOUBLE), (2, 0.56::DOUBLE)) v(o, w))
 SELECT query_id, doc_id, pos, round(max(score), 5) AS score FROM g WHERE EXISTS (SELECT 1 FROM b WHERE b.doc_id = g.doc_id AND b.pos = g.pos) GROUP BY ALL""",
     ),

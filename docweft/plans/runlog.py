@@ -52,13 +52,13 @@ QUERIES = {
         LOG + ", twice AS (SELECT * FROM log UNION ALL SELECT * REPLACE (event_id + 1000000000 AS event_id) FROM log WHERE event_id % 3 = 0) SELECT run_id, event_id, status FROM twice QUALIFY row_number() OVER (PARTITION BY run_id, status, ts, value, payload ORDER BY event_id) = 1",
     ),
     "reconstruct_state": (lambda s, d: R.state(log(s, d)), LOG + STATE),
-    "state_as_of": (lambda s, d: R.state(log(s, d), until_event=2000), LOG.replace("FROM events", "FROM events WHERE event_id <= 2000") + STATE),
+    "state_as_of": (lambda s, d: R.state(R.until_middle(log(s, d))), LOG.replace("FROM events", "FROM events WHERE epoch_us(ts) <= (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 FROM events)") + STATE),
     "state_as_of_half": (lambda s, d: R.state(R.first_half(log(s, d))), LOG.replace("FROM events", "FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events)") + STATE),
     "state_checksums": (
         lambda s, d: R.snapshot(R.state(log(s, d))),
         LOG + f", st AS ({STATE}) SELECT run_id, sha256(concat_ws('|', status, last_event::VARCHAR, completed::VARCHAR, failed::VARCHAR)) AS checksum FROM st",
     ),
-    "resume_state": (lambda s, d: R.resume(R.state(log(s, d), until_event=2000), log(s, d).filter("event_id > 2000")), LOG + STATE),
+    "resume_state": (lambda s, d: R.resume(R.state(R.first_half(log(s, d))), R.second_half(log(s, d))), LOG + STATE),
     "timeline": (
         lambda s, d: R.timeline(log(s, d)),
         LOG + """ SELECT run_id, row_number() OVER w AS seq, event_id, status, (epoch_us(ts) // 1000) - (epoch_us(first_value(ts) OVER w) // 1000) AS offset_ms,

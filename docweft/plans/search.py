@@ -1,4 +1,4 @@
-"""Search queries, each with its SQL. Queries are the first sentences of the benchmark items; true documents contain them."""
+"""Search queries, each with its SQL. Queries are the benchmark items; true documents contain them."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from docweft.plans.text import t
 
 
 def asked(s, d):
-    return t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.get(T.sentences("text"), F.lit(0)).alias("text"))
+    return t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def truth(s, d):
@@ -27,7 +27,7 @@ def bm25(s, d, k=10):
 
 
 def asked_vectors(s, d):
-    return t(s, d, "embeddings").filter("vec_id % 25 = 0").select("vec_id", "embedding")
+    return t(s, d, "embeddings").filter("vec_id % 100 = 0").select("vec_id", "embedding")
 
 
 def quick(s, d):
@@ -43,9 +43,8 @@ def metrics(s, d):
     return S.ir_metrics(asked(s, d), bm25(s, d), truth(s, d))
 
 
-FIRST = r"list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')[1]"
 TOKENS = "list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')"
-BASE = f"""WITH asked AS (SELECT item_id AS query_id, {FIRST} AS text FROM benchmark),
+BASE = f"""WITH asked AS (SELECT item_id AS query_id, text FROM benchmark),
 docs AS (SELECT doc_id, {TOKENS.format(c='text')} AS w FROM documents),
 terms AS (SELECT query_id, unnest(list_distinct({TOKENS.format(c='text')})) AS term FROM asked),
 post AS (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM docs),
@@ -77,7 +76,7 @@ QUERIES = {
     "dense_search": (
         lambda s, d: S.dense(t(s, d, "embeddings"), asked_vectors(s, d)),
         """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / n) AS v FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings) WHERE n > 0),
-p AS (SELECT q.vec_id AS query_id, u.vec_id, round(list_sum(list_transform(list_zip(q.v, u.v), lambda p: p[1] * p[2])), 4) AS score FROM u q JOIN u ON q.vec_id % 25 = 0 AND q.vec_id <> u.vec_id)
+p AS (SELECT q.vec_id AS query_id, u.vec_id, round(list_sum(list_transform(list_zip(q.v, u.v), lambda p: p[1] * p[2])), 4) AS score FROM u q JOIN u ON q.vec_id % 100 = 0 AND q.vec_id <> u.vec_id)
 SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p WHERE score >= 0.3) WHERE rank <= 15""",
     ),
     "minmax_scores": (
