@@ -7,25 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.common import cut, small
+from docweft.llm.common import SMALL, cut, small
 
 
-def _least(both: DataFrame) -> DataFrame:
-    """(u, m): the least of u and its neighbours. Partial minima come first, so a hub's links are not gathered for it; as a
-    table of its own it leaves a hub's rows in the join on u, which Spark can split, or is sent to all tasks if it is small."""
-    return small(cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))))
+def _least(both: DataFrame, many: bool) -> DataFrame:
+    """(u, m): the least of u and its neighbours. Partial minima come first, so a hub's links are not gathered for it. With many
+    links it is a table of its own, which leaves a hub's rows in the join on u, which Spark can split."""
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    return cut(least) if many else least
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, many: bool = False) -> DataFrame:
     """Each node links its larger neighbours to the least of its neighbours and itself."""
     both = edges.union(edges.select("v", "u"))
-    return both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(_least(both, many), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, many: bool = False) -> DataFrame:
     """Each node links itself and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    found = down.join(_least(down), "u")
+    found = down.join(_least(down, many), "u")
     return found.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v")
 
 
@@ -43,24 +44,25 @@ def components(edges: DataFrame) -> DataFrame:
     components are stars around their least id, after about the logarithm of the longest path.
     """
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    many = edges.count() > SMALL
     while not _all_stars(edges):
-        edges = cut(small_star(cut(large_star(edges).distinct())).distinct())
+        larger = large_star(edges, many).distinct()
+        edges = cut(small_star(cut(larger) if many else larger, many).distinct())
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
 #: Of every band, so many further members are taken as pivots before all that is still apart is compared.
-PIVOTS = 3
+PIVOTS = 2
 
 
 def merged(found: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component) after further links: only the graph of the components that they join goes through the steps."""
-    known = small(found)
-    at = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"at_{c}"))
+    at = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"at_{c}"))
     between = links.join(at("u"), "u", "left").join(at("v"), "v", "left").select(F.coalesce("at_u", "u").alias("u"), F.coalesce("at_v", "v").alias("v"))
-    moved = small(cut(components(between)))
+    moved = small(cut(components(between)))  # no more than there are new links
     of = found.join(moved.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
     new = moved.join(found.select("id"), "id", "left_anti")
-    return cut(of.select("id", F.coalesce("to", "component").alias("component")).union(new.select("id", "component")))
+    return small(cut(of.select("id", F.coalesce("to", "component").alias("component")).union(new.select("id", "component"))))
 
 
 def connected(
@@ -85,7 +87,7 @@ def connected(
     can = near or (lambda a, b: F.lit(True))
 
     def placed(rows: DataFrame, found: DataFrame) -> DataFrame:
-        return rows.join(small(found), "id", "left").withColumn("at", F.coalesce("component", "id")).drop("component")
+        return rows.join(found, "id", "left").withColumn("at", F.coalesce("component", "id")).drop("component")
 
     def to_leaders(at: DataFrame) -> DataFrame:
         """Pairs of members with leaders of their bands that lie in other components."""
@@ -94,7 +96,7 @@ def connected(
 
     rows = members.select("band", "id", "leader", more.alias("a"))
     links = verified(cut(to_leaders(rows.withColumn("at", F.col("id"))).groupBy("u").agg(F.min("v").alias("v"))))
-    found = cut(components(links))
+    found = small(cut(components(links)))
     found = merged(found, verified(cut(to_leaders(placed(rows, found)).distinct())))
 
     def still_apart(rows: DataFrame) -> DataFrame:
@@ -103,13 +105,15 @@ def connected(
         apart = at.groupBy("band").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high").select("band")
         return cut(at.join(apart, "band"))
 
+    other = lambda x: x.select(*[F.col(c).alias("b" if c == "a" else f"b_{c}") for c in x.columns])
+    meet = (F.col("band") == F.col("b_band")) & (F.col("at") != F.col("b_at"))
     apart = still_apart(rows.filter("id <> leader").drop("leader"))  # all have been compared with the leaders
+    # Most have met by chance: only those stay that can be like any one of the others. A semi-join makes no pairs.
+    apart = cut(apart.join(other(apart), meet & can("a", "b"), "left_semi"))
     if sketched:
         sketches = sketched(cut(apart.select("id").distinct()))
         apart = cut(apart.drop("a").join(sketches.select("id", F.struct(*[c for c in sketches.columns if c != "id"]).alias("s")), "id"))
     can_be = like("s", "b_s") if sketched else can("a", "b")
-    other = lambda x: x.select(*[F.col(c).alias("b" if c == "a" else f"b_{c}") for c in x.columns])
-    meet = (F.col("band") == F.col("b_band")) & (F.col("at") != F.col("b_at"))
     for k in range(PIVOTS):
         own = apart.groupBy("band").agg(F.min_by("id", F.xxhash64("id", F.lit(k))).alias("pivot"))
         pivots = cut(apart.join(own, "band").filter("id = pivot").drop("pivot"))
