@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweft.llm import bpe, extraction, lines, mixing, neardup, quality, substrings, suffixes, topk, toxicity
+from docweft.llm import bpe, extraction, lines, mixing, neardup, periods, quality, repair, simhash, substrings, suffixes, topk, toxicity
 
 OP6_SQL = r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -82,5 +82,5 @@ kept AS (SELECT e.doc_id, count(g.pos) AS n_removed, string_agg(e.word, ' ' ORDE
 SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op1_html_extraction": extraction.op1, "op2_line_dedup": lines.op2, "op3_topk": topk.op3, "op4_toxicity": toxicity.op4, "op5_minhash_near_dedup": neardup.op5, "op6_mix_sources": mixing.op6, "op7_quality_rules": quality.op7, "op8_suffix_dedup": suffixes.op8, "op9_bpe": bpe.op9, "op10_substring_dedup": substrings.op10}
+QUERIES = {"op1_html_extraction": extraction.op1, "op2_line_dedup": lines.op2, "op3_topk": topk.op3, "op4_toxicity": toxicity.op4, "op5_minhash_near_dedup": neardup.op5, "op6_mix_sources": mixing.op6, "op7_quality_rules": quality.op7, "op8_suffix_dedup": suffixes.op8, "op9_bpe": bpe.op9, "op10_substring_dedup": substrings.op10, "op11_conversation_repair": repair.op11, "op12_simhash_near_dedup": simhash.op12, "op13_periodic_runs": periods.op13}
 ORACLE_SQL = {"op3_topk": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_mix_sources": OP6_SQL, "op7_quality_rules": OP7_SQL, "op10_substring_dedup": OP10_SQL}
