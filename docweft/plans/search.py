@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docweft import functions as T
+from docweft.operators import index as I
 from docweft.operators import search as S
 from docweft.plans.text import t
+from docweft.shared import folder
 
 
 def asked(s, d):
@@ -43,6 +47,24 @@ def metrics(s, d):
     return S.ir_metrics(asked(s, d), bm25(s, d), truth(s, d))
 
 
+def changed_index(s, d):
+    """The index of all documents after two batches: documents in Spanish go, and those of each source but the first in order of names get the second half of their text."""
+    root = f"{folder(s).rstrip('/')}/index-{uuid.uuid4().hex}"
+    docs = t(s, d, "documents").select("doc_id", "text", "lang", "source")
+    I.build(docs, root)
+    I.update(docs.filter("lang = 'es'").select("doc_id", "text", F.lit("delete").alias("op")), root, 1)
+    first = docs.agg(F.min("source").alias("first"))
+    half = F.substring("text", F.floor(F.length("text") / 2).cast("int") + 1, F.length("text"))
+    I.update(docs.join(F.broadcast(first), F.col("source") > F.col("first")).select("doc_id", half.alias("text"), F.lit("upsert").alias("op")), root, 2)
+    return root
+
+
+def compacted(s, d):
+    root = changed_index(s, d)
+    I.compact(s, root, f"{root}-compact")
+    return I.search(s, f"{root}-compact", asked(s, d), 10)
+
+
 TOKENS = "list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')"
 BASE = f"""WITH asked AS (SELECT item_id AS query_id, text FROM benchmark),
 docs AS (SELECT doc_id, {TOKENS.format(c='text')} AS w FROM documents),
@@ -57,6 +79,12 @@ bm AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id
 kw AS (SELECT query_id, doc_id FROM (SELECT DISTINCT doc_id, term FROM post) JOIN terms USING (term) JOIN (SELECT query_id, count(*) AS n FROM terms GROUP BY 1) USING (query_id) GROUP BY query_id, doc_id, n HAVING count(*) = n),
 truth AS (SELECT query_id, doc_id FROM asked JOIN documents d ON contains(d.text, asked.text)),
 """
+#: The documents as the two batches of changed_index leave them; a text without a word leaves its document as it was.
+CHANGED = BASE.replace(
+    f"docs AS (SELECT doc_id, {TOKENS.format(c='text')} AS w FROM documents)",
+    f"""docs AS (SELECT * FROM (SELECT doc_id, CASE WHEN source > (SELECT min(source) FROM documents) AND len({TOKENS.format(c="substr(text, length(text) // 2 + 1)")}) > 0 THEN {TOKENS.format(c="substr(text, length(text) // 2 + 1)")}
+  WHEN lang = 'es' THEN [] ELSE {TOKENS.format(c="text")} END AS w FROM documents) WHERE len(w) > 0)""",
+)
 RRF = BASE + """lists AS (SELECT query_id, 'bm25' AS source, rank, doc_id FROM bm UNION ALL SELECT * FROM (SELECT query_id, 'keyword', row_number() OVER (PARTITION BY query_id ORDER BY doc_id)::INTEGER AS rank, doc_id FROM kw) WHERE rank <= 10)
 SELECT query_id, doc_id, round(sum(0.5 / (60 + rank)), 8) AS score, count(DISTINCT source) AS n_sources FROM lists GROUP BY query_id, doc_id"""
 METRICS = BASE + """nt AS (SELECT query_id, count(*) AS n_true FROM truth GROUP BY 1),
@@ -72,6 +100,12 @@ metrics AS (SELECT query_id, """ + ", ".join(f"round(CASE WHEN n_true > 0 THEN h
 QUERIES = {
     "bm25_index_stats": (lambda s, d: S.index_stats(t(s, d, "documents")), BASE + "x AS (SELECT 1) SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_tokens, round(avg(len(w)), 6) AS avg_length FROM docs"),
     "bm25_search": (bm25, BASE + "x AS (SELECT 1) SELECT * FROM bm"),
+    "bm25_after_updates": (lambda s, d: I.search(s, changed_index(s, d), asked(s, d), 10), CHANGED + "x AS (SELECT 1) SELECT * FROM bm"),
+    "bm25_after_compaction": (compacted, CHANGED + "x AS (SELECT 1) SELECT * FROM bm"),
+    "index_counts": (
+        lambda s, d: I.index_counts(s, changed_index(s, d)),
+        CHANGED + "x AS (SELECT 1) SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_tokens, (SELECT count(DISTINCT term) FROM post) AS n_terms, 3 AS n_batches FROM docs",
+    ),
     "keyword_search": (lambda s, d: S.keyword_search(t(s, d, "documents"), asked(s, d)), BASE + "x AS (SELECT 1) SELECT * FROM kw"),
     "dense_search": (
         lambda s, d: S.dense(t(s, d, "embeddings"), asked_vectors(s, d)),
