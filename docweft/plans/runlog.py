@@ -135,8 +135,10 @@ m AS (SELECT run_id, max(len) AS len FROM f GROUP BY 1) SELECT run_id, count(*):
 SELECT DISTINCT run_id, 'task-' || p AS source, 'task-' || task_no AS target, 'direct' AS kind FROM b WHERE NOT made UNION SELECT run_id, 'task-' || p, 'artifact-' || p, 'produces' FROM b WHERE made UNION SELECT run_id, 'artifact-' || p, 'task-' || task_no, 'feeds' FROM b WHERE made""",
     ),
     "replay_diff": (
-        lambda s, d: R.replay_diff(log(s, d).select("run_id", "status"), R.dedupe(log(s, d)).select("run_id", "status")).groupBy("side", "status").agg(F.count("*").alias("n")),
-        LOG + ", u AS (SELECT run_id, status FROM log QUALIFY row_number() OVER (PARTITION BY run_id, status, ts::DATE ORDER BY event_id) = 1) SELECT 'left' AS side, status, count(*) AS n FROM (SELECT run_id, status FROM log EXCEPT ALL SELECT * FROM u) GROUP BY ALL",
+        # the log against its first half with all failures sent again
+        lambda s, d: R.replay_diff(log(s, d).select("run_id", "status"), R.first_half(log(s, d)).unionByName(log(s, d).filter("status = 'failed'")).select("run_id", "status")).groupBy("side", "status").agg(F.count("*").alias("n")),
+        LOG + """, a AS (SELECT run_id, status FROM log), b AS (SELECT run_id, status FROM log WHERE event_id <= (SELECT max(event_id) // 2 FROM log) UNION ALL SELECT run_id, status FROM log WHERE status = 'failed')
+SELECT 'left' AS side, status, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY ALL UNION ALL SELECT 'right', status, count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY ALL""",
     ),
     "conversation_turns": (
         lambda s, d: R.turns(t(s, d, "conversations")),
