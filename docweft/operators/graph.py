@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweft import functions as T
+from docweft.shared import cut, none_in
+
 
 def nodes(blocks: DataFrame) -> DataFrame:
     """doc_id, node_id, page, pos, type, text of each block."""
@@ -57,14 +60,15 @@ def closed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
-    """doc_id, node_id, depth: what edges reach from seeds (doc_id, node_id), either way, in so many steps; least depth. One join a step."""
+    """doc_id, node_id, depth: what edges reach from seeds (doc_id, node_id), either way, in so many steps; least depth. A step joins only what the one before has found, and ends the walk if it finds nothing."""
     both = edges.select("doc_id", F.col("source").alias("a"), F.col("target").alias("b"))
-    both = both.union(both.select("doc_id", "b", "a")).distinct()
-    seen = seeds.select("doc_id", "node_id", F.lit(0).alias("depth")).distinct()
-    front = seen
+    both = cut(both.union(both.select("doc_id", "b", "a")).distinct())
+    front = seen = cut(seeds.select("doc_id", "node_id", F.lit(0).alias("depth")).distinct())
     for k in range(1, depth + 1):
         step = front.select("doc_id", F.col("node_id").alias("a")).join(both, ["doc_id", "a"]).select("doc_id", F.col("b").alias("node_id")).distinct()
-        front = step.join(seen, ["doc_id", "node_id"], "left_anti").withColumn("depth", F.lit(k))
+        front = cut(step.join(seen, ["doc_id", "node_id"], "left_anti").withColumn("depth", F.lit(k)))
+        if none_in(front):
+            break
         seen = seen.unionByName(front)
     return seen
 
@@ -82,3 +86,32 @@ def parity(nodes: DataFrame) -> DataFrame:
     each = one.groupBy("pair", "text").agg(F.max((F.col("side") == 0).cast("int")).alias("a"), F.max((F.col("side") == 1).cast("int")).alias("b"))
     s = each.groupBy("pair").agg(F.sum("a").alias("left"), F.sum("b").alias("right"), F.sum(F.col("a") * F.col("b")).alias("common"))
     return s.select("pair", (F.col("right") - F.col("common")).alias("added"), (F.col("left") - F.col("common")).alias("removed"), F.round(F.least("left", "right") / F.greatest("left", "right"), 4).alias("structural"), F.round(F.col("common") / (F.col("left") + F.col("right") - F.col("common")), 4).alias("textual"))
+
+
+def compare(left: DataFrame, left_edges: DataFrame, right: DataFrame, right_edges: DataFrame) -> DataFrame:
+    """doc_id, structural, textual (percent, 2 dp), nodes_added, nodes_removed, edges_added, edges_removed, orphans of two graphs of each document (right against left).
+
+    structural: 0.4 for how near the numbers of nodes are, 0.3 for the share of the left nodes that have the same parent on the right, 0.3 for the edges that both have out of the larger number of different
+    ones. textual: the words that both have out of all their different ones. Orphans are right nodes without a parent and without an edge. Nodes: doc_id, node_id, parent, text; edges: doc_id, source,
+    target, type. A side that lacks a document counts as empty.
+    """
+    one = lambda n, side: n.groupBy("doc_id", "node_id").agg(F.first("parent").alias(f"{side}_parent"), F.lit(1).alias(side))
+    met = one(left, "l").join(one(right, "r"), ["doc_id", "node_id"], "full_outer")
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    both = F.when(F.col("l").isNotNull() & F.col("r").isNotNull(), 1).otherwise(0)
+    same = F.when((both == 1) & F.col("l_parent").eqNullSafe(F.col("r_parent")), 1).otherwise(0)
+    nodes_ = met.groupBy("doc_id").agg(n("l").alias("nl"), n("r").alias("nr"), F.sum(both).alias("nb"), F.sum(same).alias("same"))
+    edge = lambda e, side: e.select("doc_id", "source", "target", "type").distinct().withColumn(side, F.lit(1))
+    crossed = edge(left_edges, "l").join(edge(right_edges, "r"), ["doc_id", "source", "target", "type"], "full_outer")
+    edges_ = crossed.groupBy("doc_id").agg(n("l").alias("el"), n("r").alias("er"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("eb"))
+    word = lambda d, side: d.select("doc_id", F.explode(F.array_distinct(T.tokens("text"))).alias("word")).distinct().withColumn(side, F.lit(1))
+    said = word(left, "l").join(word(right, "r"), ["doc_id", "word"], "full_outer").groupBy("doc_id").agg(F.count("*").alias("words"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("common"))
+    ends = right_edges.select("doc_id", F.col("source").alias("node_id")).union(right_edges.select("doc_id", "target")).distinct()
+    alone = right.filter("parent is null").join(ends, ["doc_id", "node_id"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("orphans"))
+    all_ = nodes_.join(edges_, "doc_id", "left").join(said, "doc_id", "left").join(alone, "doc_id", "left").fillna(0)
+    count = 1.0 - F.abs(F.col("nl") - F.col("nr")) / F.greatest("nl", "nr", F.lit(1))
+    hierarchy = F.when(F.col("nl") > 0, F.col("same") / F.col("nl")).otherwise(1.0)
+    structural = (0.4 * count + 0.3 * hierarchy + 0.3 * (F.col("eb") / F.greatest("el", "er", F.lit(1)))) * 100.0
+    textual = F.when(F.col("words") > 0, F.col("common") / F.col("words") * 100.0).otherwise(100.0)
+    gap = lambda a, b, name: (F.col(a) - F.col(b)).alias(name)
+    return all_.select("doc_id", F.round(structural, 2).alias("structural"), F.round(textual, 2).alias("textual"), gap("nr", "nb", "nodes_added"), gap("nl", "nb", "nodes_removed"), gap("er", "eb", "edges_added"), gap("el", "eb", "edges_removed"), "orphans")

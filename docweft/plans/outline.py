@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docweft.operators import graph as G
 from docweft.operators import outline as O
 from docweft.plans.text import t
 from docweft.shared import cut
@@ -79,7 +81,34 @@ def chunk_graph(most):
     return run
 
 
+def graph_edges(nodes):
+    """Edges of outline nodes: contains from the parent, next to the node read after."""
+    ahead = F.lead("node_id").over(Window.partitionBy("doc_id").orderBy("pos"))
+    held = nodes.filter("parent is not null").select("doc_id", F.col("parent").alias("source"), F.col("node_id").alias("target"), F.lit("contains").alias("type"))
+    return held.unionByName(nodes.select("doc_id", F.col("node_id").alias("source"), ahead.alias("target"), F.lit("next").alias("type")).filter("target is not null"))
+
+
+def graph_compare(s, d):
+    """Each statement's nodes against those with continued paragraphs merged."""
+    left = cut(nodes(s, d))
+    right = cut(O.merge_pages(left))
+    return G.compare(left, graph_edges(left), right, graph_edges(right))
+
+
+WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')"
+COMPARE = f"""WITH {NODES}, {MERGED.replace("string_agg(text", "arg_min(parent, pos) AS parent, string_agg(text")},
+sides AS (SELECT 'l' AS side, doc_id, node_id, parent, pos, text FROM nodes UNION ALL SELECT 'r', doc_id, node_id, parent, pos, text FROM mg),
+ed AS (SELECT side, doc_id, parent AS source, node_id AS target, 'contains' AS type FROM sides WHERE parent IS NOT NULL UNION ALL SELECT * FROM (SELECT side, doc_id, node_id, lead(node_id) OVER (PARTITION BY side, doc_id ORDER BY pos) AS target, 'next' FROM sides) WHERE target IS NOT NULL),
+nc AS (SELECT doc_id, count(*) FILTER (side = 'l') AS nl, count(*) FILTER (side = 'r') AS nr FROM sides GROUP BY 1),
+hb AS (SELECT l.doc_id, count(*) AS nb, count(*) FILTER (l.parent IS NOT DISTINCT FROM r.parent) AS same FROM nodes l JOIN mg r ON r.doc_id = l.doc_id AND r.node_id = l.node_id GROUP BY 1),
+ec AS (SELECT doc_id, count(*) FILTER (l) AS el, count(*) FILTER (r) AS er, count(*) FILTER (l AND r) AS eb FROM (SELECT doc_id, source, target, type, bool_or(side = 'l') AS l, bool_or(side = 'r') AS r FROM ed GROUP BY ALL) GROUP BY 1),
+wc AS (SELECT doc_id, count(*) AS words, count(*) FILTER (l AND r) AS common FROM (SELECT doc_id, word, bool_or(side = 'l') AS l, bool_or(side = 'r') AS r FROM (SELECT side, doc_id, unnest({WORDS}) AS word FROM sides) GROUP BY ALL) GROUP BY 1),
+al AS (SELECT doc_id, count(*) AS n FROM mg WHERE parent IS NULL AND NOT EXISTS (SELECT 1 FROM ed WHERE side = 'r' AND ed.doc_id = mg.doc_id AND (source = mg.node_id OR target = mg.node_id)) GROUP BY 1)
+SELECT doc_id, round((0.4::DOUBLE * (1.0::DOUBLE - abs(nl - nr)::DOUBLE / greatest(nl, nr, 1)) + 0.3::DOUBLE * (same::DOUBLE / nl) + 0.3::DOUBLE * (coalesce(eb, 0)::DOUBLE / greatest(coalesce(el, 0), coalesce(er, 0), 1))) * 100.0::DOUBLE, 2) AS structural, round(common::DOUBLE / words * 100.0::DOUBLE, 2) AS textual,
+  nr - nb AS nodes_added, nl - nb AS nodes_removed, coalesce(er - eb, 0) AS edges_added, coalesce(el - eb, 0) AS edges_removed, coalesce(n, 0) AS orphans FROM nc JOIN hb USING (doc_id) LEFT JOIN ec USING (doc_id) LEFT JOIN wc USING (doc_id) LEFT JOIN al USING (doc_id)"""
+
 QUERIES = {
+    "graph_compare": (graph_compare, COMPARE),
     "heading_paths": (heading_paths, f"WITH RECURSIVE {NODES}, {LEVELS} SELECT doc_id, node_id, level, array_to_string(path, ' > ') AS path, NULL::VARCHAR AS error FROM lev"),
     "section_groups": (
         section_groups,
