@@ -172,3 +172,24 @@ def run_status(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     n = lambda *s: F.count_if(F.col("status").isin(*s))
     status = F.when(n("completed") == F.count("*"), "completed").when(n("running", "pending") > 0, "running").when(n("failed") > 0, "failed").when(n("blocked") > 0, "blocked").when(n("cancelled") > 0, "cancelled").otherwise("failed")
     return now.groupBy("run_id").agg(status.alias("status"), n("blocked").alias("n_blocked")).join(roots, "run_id", "left").fillna({"n_roots": 0})
+
+
+def layout_issues(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("contains", "references", "caption_of")) -> DataFrame:
+    """doc_id, issue, n: missing_id, duplicate_id (further nodes with an id), missing_bbox, reading_order (not above that of the node before), unknown_end (edges with an end that is no node), orphan (no edge at all), cycle.
+
+    nodes: doc_id, node_id, pos (place in the file), reading_order, bbox; edges: doc_id, source, target, type. A cycle is looked for among edges of the given kinds; n is the number of nodes on one or behind one. Edges of reading order, long chains
+    that lead nowhere back, are left out of that.
+    """
+    own = Window.partitionBy("doc_id").orderBy("pos")
+    count = lambda df, issue: df.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(issue).alias("issue"), "n")
+    named = nodes.filter("node_id is not null")
+    twice = named.groupBy("doc_id", "node_id").agg(F.count("*").alias("c")).filter("c > 1").groupBy("doc_id").agg(F.sum(F.col("c") - 1).alias("n")).select("doc_id", F.lit("duplicate_id").alias("issue"), "n")
+    order = nodes.withColumn("_before", F.lag("reading_order").over(own)).filter("reading_order <= _before")
+    ids = named.groupBy("doc_id", "node_id").agg(F.min("pos").cast("long").alias("at"))
+    at = lambda c: ids.select("doc_id", F.col("node_id").alias(c), F.col("at").alias(f"at_{c}"))
+    placed = cut(edges.join(at("source"), ["doc_id", "source"], "left").join(at("target"), ["doc_id", "target"], "left"))
+    ends = edges.select("doc_id", F.col("source").alias("node_id")).union(edges.select("doc_id", "target")).distinct()
+    graph = placed.filter(F.col("type").isin(*kinds) & F.col("at_source").isNotNull() & F.col("at_target").isNotNull()).select(F.col("doc_id").alias("run_id"), F.col("at_source").alias("parent"), F.col("at_target").alias("child"))
+    loops = cycles(ids.select(F.col("doc_id").alias("run_id"), F.col("at").alias("task")), graph).select(F.col("run_id").alias("doc_id"), F.lit("cycle").alias("issue"), "n")
+    out = count(nodes.filter("node_id is null"), "missing_id").unionByName(twice).unionByName(count(nodes.filter("bbox is null"), "missing_bbox")).unionByName(count(order, "reading_order"))
+    return out.unionByName(count(placed.filter("at_source is null or at_target is null"), "unknown_end")).unionByName(count(named.join(ends, ["doc_id", "node_id"], "left_anti"), "orphan")).unionByName(loops)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docweft.operators import dag as D
 from docweft.operators import graph as G
 from docweft.operators import outline as O
 from docweft.plans.text import t
@@ -95,6 +96,13 @@ def graph_compare(s, d):
     return G.compare(left, graph_edges(left), right, graph_edges(right))
 
 
+def layout_issues(s, d):
+    """Statements whose figures have no box and refer back to the heading that contains them."""
+    each = cut(nodes(s, d)).withColumns({"reading_order": F.col("pos"), "bbox": F.when(F.col("type") != "figure", F.concat_ws(",", "page", "pos"))})
+    back = each.filter("type = 'figure'").select("doc_id", F.col("node_id").alias("source"), F.col("parent").alias("target"), F.lit("references").alias("type"))
+    return D.layout_issues(each, graph_edges(each).unionByName(back))
+
+
 WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')"
 COMPARE = f"""WITH {NODES}, {MERGED.replace("string_agg(text", "arg_min(parent, pos) AS parent, string_agg(text")},
 sides AS (SELECT 'l' AS side, doc_id, node_id, parent, pos, text FROM nodes UNION ALL SELECT 'r', doc_id, node_id, parent, pos, text FROM mg),
@@ -109,6 +117,12 @@ SELECT doc_id, round((0.4::DOUBLE * (1.0::DOUBLE - abs(nl - nr)::DOUBLE / greate
 
 QUERIES = {
     "graph_compare": (graph_compare, COMPARE),
+    "layout_issues": (
+        layout_issues,
+        f"""WITH {NODES}, fg AS (SELECT doc_id, parent, count(*) AS n FROM nodes WHERE type = 'figure' GROUP BY ALL)
+SELECT doc_id, 'missing_bbox' AS issue, sum(n)::BIGINT AS n FROM fg GROUP BY doc_id
+UNION ALL SELECT fg.doc_id, 'cycle', (count(*) + count(DISTINCT fg.parent))::BIGINT FROM fg JOIN nodes ON nodes.doc_id = fg.doc_id AND nodes.parent = fg.parent GROUP BY fg.doc_id""",
+    ),
     "heading_paths": (heading_paths, f"WITH RECURSIVE {NODES}, {LEVELS} SELECT doc_id, node_id, level, array_to_string(path, ' > ') AS path, NULL::VARCHAR AS error FROM lev"),
     "section_groups": (
         section_groups,

@@ -62,3 +62,14 @@ def test_a_long_chain(spark):
     n = 20
     t, e = graph(spark, [(1, i, 2.0, "pending") for i in range(n)], [(1, i + 1, i) for i in range(n - 1)])
     assert [r["task"] for r in dag.critical_paths(t, e).orderBy("step").collect()] == list(range(n))[::-1]
+
+
+def test_every_issue_of_a_layout(spark):
+    nodes = spark.createDataFrame(
+        [(1, "a", 0, 0, "b"), (1, "a", 1, 1, "b"), (1, None, 2, 2, "b"), (1, "c", 3, 2, None), (1, "d", 4, 9, "b"), (1, "e", 5, 10, "b"), (1, "f", 6, 11, "b"), (1, "lone", 7, 12, "b")],
+        "doc_id long, node_id string, pos int, reading_order int, bbox string",
+    )
+    edges = spark.createDataFrame([(1, "a", "c", "contains"), (1, "d", "e", "contains"), (1, "e", "d", "references"), (1, "e", "f", "contains"), (1, "f", "a", "next"), (1, "c", "gone", "next")], "doc_id long, source string, target string, type string")
+    found = {(r["issue"], r["n"]) for r in dag.layout_issues(nodes, edges).collect()}
+    assert found == {("missing_id", 1), ("duplicate_id", 1), ("missing_bbox", 1), ("reading_order", 1), ("unknown_end", 1), ("orphan", 1), ("cycle", 3)}
+    assert dag.layout_issues(nodes.limit(0), edges.limit(0)).count() == 0
