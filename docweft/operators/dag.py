@@ -193,3 +193,63 @@ def layout_issues(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = (
     loops = cycles(ids.select(F.col("doc_id").alias("run_id"), F.col("at").alias("task")), graph).select(F.col("run_id").alias("doc_id"), F.lit("cycle").alias("issue"), "n")
     out = count(nodes.filter("node_id is null"), "missing_id").unionByName(twice).unionByName(count(nodes.filter("bbox is null"), "missing_bbox")).unionByName(count(order, "reading_order"))
     return out.unionByName(count(placed.filter("at_source is null or at_target is null"), "unknown_end")).unionByName(count(named.join(ends, ["doc_id", "node_id"], "left_anti"), "orphan")).unionByName(loops)
+
+
+def _severity(value: Column, *steps: tuple[float, str], least: str) -> Column:
+    out = F.lit(least)
+    for limit, name in sorted(steps):
+        out = F.when(value > limit, name).otherwise(out)
+    return out
+
+
+def run_bottlenecks(tasks: DataFrame, edges: DataFrame) -> DataFrame:
+    """run_id, place, id, severity, impact (6 dp), affected_ms (3 dp): what holds a run up, worst first: by severity, impact, affected time and id.
+
+    tasks: task, stage, worker, weight, start_ms, end_ms, duration_ms, wait_ms, attempts. Ten rules, each once a run at most; D is the time from the run's first start to its last end:
+    queue-delay (the stage with the longest mean wait, over 500 ms), worker-saturation (the busiest worker, over 50 % of D), slow-stage (the stage with the longest total, over 100 ms), retry-hotspot (the task tried
+    again most), idle-workers (busy below 15 % of D), critical-path-length, longest-serial-chain (over 3 tasks on it), excessive-retries (tasks tried again twice or more), worker-starvation (waits over 1 s and
+    three times the duration) and queue-imbalance (stages' mean waits more than 1 s apart). Of equals, the least name counts.
+    """
+    tasks = cut(tasks)
+    path = critical_paths(tasks.select("run_id", "task", "weight"), edges).select("run_id", "task", F.lit(1).alias("critical"))
+    each = cut(tasks.join(path, ["run_id", "task"], "left").withColumn("retries", F.col("attempts") - 1))
+    run = cut(each.groupBy("run_id").agg(
+        (F.max("end_ms") - F.min("start_ms")).alias("d"), F.max(F.struct("retries", (-F.col("task")).alias("t"))).alias("hot"), F.sum("critical").alias("n_path"),
+        F.sum(F.when(F.col("critical") == 1, F.col("duration_ms")).otherwise(0.0)).alias("path_ms"), F.sum(F.when(F.col("critical") == 1, F.col("wait_ms")).otherwise(0.0)).alias("path_wait"),
+        F.count_if(F.col("retries") >= 2).alias("often"), F.sum(F.when(F.col("retries") > 0, F.col("duration_ms")).otherwise(0.0)).alias("again_ms"),
+        F.sum(F.when((F.col("wait_ms") > 1000) & (F.col("wait_ms") > F.col("duration_ms") * 3), F.col("wait_ms"))).alias("starved"),
+    ))
+    stage = cut(each.groupBy("run_id", "stage").agg(F.avg("wait_ms").alias("wait"), F.sum("duration_ms").alias("total")).join(run.select("run_id", "d"), "run_id"))
+    worker = cut(each.groupBy("run_id", "worker").agg(F.sum("duration_ms").alias("busy")).join(run.select("run_id", "d"), "run_id").withColumn("share", F.when(F.col("d") > 0, F.col("busy") / F.col("d") * 100.0).otherwise(0.0)))
+    d = F.greatest("d", F.lit(1.0))
+    one = F.lit(1.0)
+
+    def most(df: DataFrame, value: str, name: str) -> DataFrame:
+        best = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc(value), name))
+        return df.withColumn("_r", best).filter("_r = 1")
+
+    def rule(df: DataFrame, when: Column, name: Column, severity: Column, impact: Column, affected: Column) -> DataFrame:
+        return df.filter(when).select("run_id", name.alias("id"), severity.alias("severity"), F.round(impact.cast("double"), 6).alias("impact"), F.round(affected.cast("double"), 3).alias("affected_ms"))
+
+    w, share, pct = F.col("wait"), F.col("share"), F.col("total") / d * 100.0
+    hot = F.col("hot.retries")
+    idle = worker.filter("share < 15 and d > 1000").groupBy("run_id").agg(F.max("d").alias("d"))
+    waits = stage.groupBy("run_id").agg((F.max("wait") - F.min("wait")).alias("gap"))
+    found = [
+        rule(most(stage, "wait", "stage"), w > 500, F.concat(F.lit("queue-delay-"), "stage"), _severity(w, (5000.0, "critical"), (2000.0, "high"), least="medium"), F.least(one, w / d), w),
+        rule(most(worker, "share", "worker"), share > 50, F.concat(F.lit("worker-saturation-"), "worker"), _severity(share, (90.0, "critical"), (75.0, "high"), least="medium"), share / 100.0, F.floor(F.col("d") * share / 100.0)),
+        rule(most(stage, "total", "stage"), F.col("total") > 100, F.concat(F.lit("slow-stage-"), "stage"), _severity(pct, (40.0, "critical"), (25.0, "high"), least="low"), F.least(one, pct / 100.0), F.col("total")),
+        rule(run, hot > 0, F.concat(F.lit("retry-hotspot-task-"), -F.col("hot.t")), _severity(hot, (2.0, "critical"), (1.0, "high"), least="medium"), F.least(one, hot * 500.0 / d), hot * 1000.0),
+        rule(idle, F.lit(True), F.lit("idle-workers"), F.lit("low"), F.lit(0.2), F.floor(F.col("d") * 0.15)),
+        rule(run, F.col("n_path") > 0, F.lit("critical-path-length"), F.when(F.col("path_ms") / d > 0.6, "high").otherwise("medium"), F.col("path_ms") / d, F.floor(F.col("path_ms") + F.col("path_wait"))),
+        rule(run, F.col("n_path") > 3, F.lit("longest-serial-chain"), F.when(F.col("n_path") > 6, "high").otherwise("medium"), F.lit(0.5), F.floor("path_ms")),
+        rule(run, F.col("often") > 0, F.lit("excessive-retries"), F.lit("high"), F.lit(0.4), F.floor("again_ms")),
+        rule(run, F.col("starved").isNotNull(), F.lit("worker-starvation"), F.lit("medium"), F.lit(0.3), F.floor("starved")),
+        rule(waits, F.col("gap") > 1000, F.lit("queue-imbalance"), F.lit("medium"), F.lit(0.2), F.floor("gap")),
+    ]
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    rank = F.when(F.col("severity") == "critical", 4).when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).otherwise(1)
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc(rank), F.desc("impact"), F.desc("affected_ms"), "id"))
+    return out.select("run_id", place.alias("place"), "id", "severity", "impact", "affected_ms")

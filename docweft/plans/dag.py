@@ -32,6 +32,12 @@ def tasks(s, d):
     )
 
 
+def worked(s, d):
+    """Tasks with the supplier as worker, and waits by price."""
+    own = lines(s, d).select(F.col("l_orderkey").alias("run_id"), number(F.col("n")).alias("task"), F.col("l_suppkey").cast("string").alias("worker"), F.round(F.col("l_extendedprice") / 10.0).alias("wait_ms"))
+    return tasks(s, d).drop("wait_ms").join(own, ["run_id", "task"])
+
+
 def edges(s, d):
     """Task n waits for n // 2 and, if 3 divides n, for n - 1."""
     parents = F.filter(F.array(F.floor(F.col("n") / 2), F.when(F.col("n") % 3 == 0, F.col("n") - 1).otherwise(F.lit(0))), lambda p: p > 0)
@@ -88,6 +94,27 @@ q AS (SELECT *, CASE WHEN done = n THEN 0.0 ELSE round(greatest(0.0, finish_ms -
 w AS (SELECT *, 100 - CASE WHEN progress < 30 THEN 20 WHEN progress < 60 THEN 10 ELSE 0 END - CASE WHEN rate > 0.2 THEN 15 ELSE 0 END - CASE WHEN wait > 2000 THEN 15 ELSE 0 END AS trust, ({AGREED_MS} - (now_ms + remaining_ms)) / {AGREED_MS} * 100 AS buffer FROM q)
 SELECT run_id, now_ms, finish_ms, remaining_ms::DOUBLE AS remaining_ms, progress::DOUBLE AS progress, critical_remaining_ms, CASE WHEN now_ms + remaining_ms > {AGREED_MS} THEN CASE WHEN now_ms > {AGREED_MS} THEN 'Missed' ELSE 'Likely Miss' END WHEN buffer > 20 THEN 'On Track' WHEN buffer >= 5 THEN 'At Risk' ELSE 'Likely Miss' END AS sla_status,
   CASE WHEN trust >= 75 THEN 'High' WHEN trust >= 45 THEN 'Medium' ELSE 'Low' END AS confidence FROM w JOIN cr USING (run_id)""",
+    ),
+    "run_bottlenecks": (
+        lambda s, d: D.run_bottlenecks(worked(s, d), edges(s, d)),
+        BASE + PATH + f""", x AS (SELECT tk.* EXCLUDE (wait_ms), l_suppkey::VARCHAR AS worker, round(l_extendedprice / 10.0::DOUBLE) AS wait_ms, attempts - 1 AS retries, path.task IS NOT NULL AS critical
+  FROM tk JOIN g ON g.l_orderkey = tk.run_id AND g.n * {A} % {M} = tk.task LEFT JOIN path ON path.run_id = tk.run_id AND path.task = tk.task),
+rn AS (SELECT run_id, max(end_ms) - min(start_ms) AS d, max(retries) AS hot, arg_min(task, (-retries, task)) AS hot_task, count(*) FILTER (critical) AS n_path, coalesce(sum(duration_ms) FILTER (critical), 0.0) AS path_ms, coalesce(sum(wait_ms) FILTER (critical), 0.0) AS path_wait,
+  count(*) FILTER (retries >= 2) AS often, coalesce(sum(duration_ms) FILTER (retries > 0), 0.0) AS again_ms, sum(wait_ms) FILTER (wait_ms > 1000 AND wait_ms > duration_ms * 3) AS starved FROM x GROUP BY 1),
+sg AS (SELECT run_id, stage, avg(wait_ms) AS wait, sum(duration_ms) AS total, any_value(d) AS d FROM x JOIN rn USING (run_id) GROUP BY ALL),
+wk AS (SELECT run_id, worker, CASE WHEN any_value(d) > 0 THEN sum(duration_ms) / any_value(d) * 100.0::DOUBLE ELSE 0.0 END AS share, any_value(d) AS d FROM x JOIN rn USING (run_id) GROUP BY ALL),
+r AS (SELECT run_id, 'queue-delay-' || stage AS id, CASE WHEN wait > 5000 THEN 'critical' WHEN wait > 2000 THEN 'high' ELSE 'medium' END AS severity, least(1.0::DOUBLE, wait / greatest(d, 1.0)) AS impact, wait AS affected FROM (SELECT * FROM sg QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY wait DESC, stage) = 1) WHERE wait > 500
+UNION ALL SELECT run_id, 'worker-saturation-' || worker, CASE WHEN share > 90 THEN 'critical' WHEN share > 75 THEN 'high' ELSE 'medium' END, share / 100.0::DOUBLE, floor(d * share / 100.0::DOUBLE) FROM (SELECT * FROM wk QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY share DESC, worker) = 1) WHERE share > 50
+UNION ALL SELECT run_id, 'slow-stage-' || stage, CASE WHEN pct > 40 THEN 'critical' WHEN pct > 25 THEN 'high' ELSE 'low' END, least(1.0::DOUBLE, pct / 100.0::DOUBLE), total FROM (SELECT *, total / greatest(d, 1.0) * 100.0::DOUBLE AS pct FROM sg QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY total DESC, stage) = 1) WHERE total > 100
+UNION ALL SELECT run_id, 'retry-hotspot-task-' || hot_task, CASE WHEN hot >= 3 THEN 'critical' WHEN hot >= 2 THEN 'high' ELSE 'medium' END, least(1.0::DOUBLE, hot * 500.0::DOUBLE / greatest(d, 1.0)), hot * 1000.0::DOUBLE FROM rn WHERE hot > 0
+UNION ALL SELECT DISTINCT run_id, 'idle-workers', 'low', 0.2::DOUBLE, floor(d * 0.15::DOUBLE) FROM wk WHERE share < 15 AND d > 1000
+UNION ALL SELECT run_id, 'critical-path-length', CASE WHEN path_ms / greatest(d, 1.0) > 0.6::DOUBLE THEN 'high' ELSE 'medium' END, path_ms / greatest(d, 1.0), floor(path_ms + path_wait) FROM rn WHERE n_path > 0
+UNION ALL SELECT run_id, 'longest-serial-chain', CASE WHEN n_path > 6 THEN 'high' ELSE 'medium' END, 0.5::DOUBLE, floor(path_ms) FROM rn WHERE n_path > 3
+UNION ALL SELECT run_id, 'excessive-retries', 'high', 0.4::DOUBLE, floor(again_ms) FROM rn WHERE often > 0
+UNION ALL SELECT run_id, 'worker-starvation', 'medium', 0.3::DOUBLE, floor(starved) FROM rn WHERE starved IS NOT NULL
+UNION ALL SELECT run_id, 'queue-imbalance', 'medium', 0.2::DOUBLE, floor(max(wait) - min(wait)) FROM sg GROUP BY run_id HAVING max(wait) - min(wait) > 1000),
+q AS (SELECT run_id, id, severity, round(impact, 6) AS impact, round(affected, 3)::DOUBLE AS affected_ms FROM r)
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, impact DESC, affected_ms DESC, id)::INTEGER AS place, id, severity, impact, affected_ms FROM q""",
     ),
     "blocked_tasks": (lambda s, d: D.blocked(tasks(s, d), edges(s, d)), BASE + BLOCKED + " SELECT * FROM cl"),
     "run_status": (
