@@ -203,7 +203,7 @@ def _severity(value: Column, *steps: tuple[float, str], least: str) -> Column:
 
 
 def run_bottlenecks(tasks: DataFrame, edges: DataFrame) -> DataFrame:
-    """run_id, place, id, severity, impact (6 dp), affected_ms (3 dp): what holds a run up, worst first: by severity, impact, affected time and id.
+    """run_id, place, id, severity, impact (cut to 6 dp), affected_ms (cut to 3 dp): what holds a run up, worst first: by severity, impact, affected time and id.
 
     tasks: task, stage, worker, weight, start_ms, end_ms, duration_ms, wait_ms, attempts. Ten rules, each once a run at most; D is the time from the run's first start to its last end:
     queue-delay (the stage with the longest mean wait, over 500 ms), worker-saturation (the busiest worker, over 50 % of D), slow-stage (the stage with the longest total, over 100 ms), retry-hotspot (the task tried
@@ -229,7 +229,7 @@ def run_bottlenecks(tasks: DataFrame, edges: DataFrame) -> DataFrame:
         return df.withColumn("_r", best).filter("_r = 1")
 
     def rule(df: DataFrame, when: Column, name: Column, severity: Column, impact: Column, affected: Column) -> DataFrame:
-        return df.filter(when).select("run_id", name.alias("id"), severity.alias("severity"), F.round(impact.cast("double"), 6).alias("impact"), F.round(affected.cast("double"), 3).alias("affected_ms"))
+        return df.filter(when).select("run_id", name.alias("id"), severity.alias("severity"), (F.floor(impact.cast("double") * 1e6) / 1e6).alias("impact"), (F.floor(affected.cast("double") * 1e3) / 1e3).alias("affected_ms"))
 
     w, share, pct = F.col("wait"), F.col("share"), F.col("total") / d * 100.0
     hot = F.col("hot.retries")

@@ -113,7 +113,7 @@ UNION ALL SELECT run_id, 'longest-serial-chain', CASE WHEN n_path > 6 THEN 'high
 UNION ALL SELECT run_id, 'excessive-retries', 'high', 0.4::DOUBLE, floor(again_ms) FROM rn WHERE often > 0
 UNION ALL SELECT run_id, 'worker-starvation', 'medium', 0.3::DOUBLE, floor(starved) FROM rn WHERE starved IS NOT NULL
 UNION ALL SELECT run_id, 'queue-imbalance', 'medium', 0.2::DOUBLE, floor(max(wait) - min(wait)) FROM sg GROUP BY run_id HAVING max(wait) - min(wait) > 1000),
-q AS (SELECT run_id, id, severity, round(impact, 6) AS impact, round(affected, 3)::DOUBLE AS affected_ms FROM r)
+q AS (SELECT run_id, id, severity, floor(impact * 1e6::DOUBLE) / 1e6::DOUBLE AS impact, floor(affected * 1e3::DOUBLE) / 1e3::DOUBLE AS affected_ms FROM r)
 SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, impact DESC, affected_ms DESC, id)::INTEGER AS place, id, severity, impact, affected_ms FROM q""",
     ),
     "blocked_tasks": (lambda s, d: D.blocked(tasks(s, d), edges(s, d)), BASE + BLOCKED + " SELECT * FROM cl"),
