@@ -170,7 +170,7 @@ def _broadcast(spark: SparkSession, path: str):
 def encode(docs: DataFrame, vocabulary: str, decoded: bool = False) -> DataFrame:
     """doc_id and ids (array<int>) of every text, and with decoded=True the decoded text too. Null or empty: no ids.
 
-    One row for each row of docs, repeated rows included; other columns are not looked at.
+    One row for each row of docs, repeated rows and null ids included, so an empty table gives an empty result; other columns are not looked at.
     """
     held = _broadcast(docs.sparkSession, vocabulary)
 
@@ -201,7 +201,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Like encode, but instead of ids and decoded text their number and SHA-256 digests."""
+    """Like encode, but instead of ids and decoded text their number and SHA-256 digests; a null or empty text has 0 ids and the digests of an empty string."""
     held = _broadcast(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

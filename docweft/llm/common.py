@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,12 @@ def cut(df: DataFrame, **how: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Drops what finished steps have left on the driver: their plans, and by way of Spark's cleaner their broadcasts and shuffles, which otherwise stay until the JVM happens to collect them."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def n_words(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
 

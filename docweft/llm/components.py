@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.common import SMALL, cut, small
+from docweft.llm.common import SMALL, cut, let_go, small
 
 
 def _least(both: DataFrame, many: bool) -> DataFrame:
@@ -55,8 +55,15 @@ def components(edges: DataFrame) -> DataFrame:
 PIVOTS = 2
 
 
+def none_in(df: DataFrame) -> bool:
+    return not df.limit(1).count()
+
+
 def merged(found: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, component) after further links: only the graph of the components that they join goes through the steps."""
+    """(id, component) after further links: only the graph of the components that they join goes through the steps. Without links nothing is done."""
+    links = cut(links)
+    if none_in(links):
+        return found
     at = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"at_{c}"))
     between = links.join(at("u"), "u", "left").join(at("v"), "v", "left").select(F.coalesce("at_u", "u").alias("u"), F.coalesce("at_v", "v").alias("v"))
     moved = small(cut(components(between)))  # no more than there are new links
@@ -72,7 +79,7 @@ def connected(
     sketched: Callable[[DataFrame], DataFrame] | None = None,
     like: Callable[[str, str], Column] | None = None,
 ) -> DataFrame:
-    """(id, component) of the verified links among the members of each band. members: band, id, leader (the band's least id).
+    """(id, component) of the verified links among the members of each band; empty for no members or links. members: band, id, leader (the band's least id).
 
     verified takes pairs (u, v) and returns those that are links; near(a, b) tells from further columns of members (those of
     the two sides come in structs a and b) whether a pair can be one. Not all pairs of a band are made. First each id is
@@ -108,8 +115,13 @@ def connected(
     other = lambda x: x.select(*[F.col(c).alias("b" if c == "a" else f"b_{c}") for c in x.columns])
     meet = (F.col("band") == F.col("b_band")) & (F.col("at") != F.col("b_at"))
     apart = still_apart(rows.filter("id <> leader").drop("leader"))  # all have been compared with the leaders
+    if none_in(apart):
+        return found
     # Most have met by chance: only those stay that can be like any one of the others. A semi-join makes no pairs.
     apart = cut(apart.join(other(apart), meet & can("a", "b"), "left_semi"))
+    if none_in(apart):
+        return found
+    let_go(members.sparkSession)
     if sketched:
         sketches = sketched(cut(apart.select("id").distinct()))
         apart = cut(apart.drop("a").join(sketches.select("id", F.struct(*[c for c in sketches.columns if c != "id"]).alias("s")), "id"))
@@ -120,6 +132,9 @@ def connected(
         pairs = apart.join(other(pivots), meet & can_be).select(F.col("id").alias("u"), F.col("b_id").alias("v"))
         found = merged(found, verified(cut(pairs.distinct())))
         apart = still_apart(apart)
+        if none_in(apart):
+            return found
+    let_go(members.sparkSession)
     bands = apart.groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("bands"))  # no more than an id has
     apart = cut(apart.join(bands, "id"))
     first = F.array_intersect("bands", "b_bands")[0] == F.col("band")

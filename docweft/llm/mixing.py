@@ -110,7 +110,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int =
 
 
 def repeat(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, each as often as mix() takes it. Rows that repeat an id are taken as often as the one taken most."""
+    """The rows of docs, each as often as mix() takes it. Rows that repeat an id are taken as often as the one taken most, rows without an id likewise as one id.
+
+    Null texts have size 0 and are taken as mix() says of such. All columns stay, whatever their names; an empty table gives an empty result."""
     key, times = fresh(docs, "of_doc"), fresh(docs, "times")
     copies = mix(docs, **how).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(times)).filter(F.col(times) > 0)
     both = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(key))).drop(key)

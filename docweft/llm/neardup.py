@@ -158,7 +158,7 @@ def classes_of(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 10
 
 
 def keep_one(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The rows of docs that stand for their group: those whose id is their component's, and those without an id."""
+    """The rows of docs that stand for their group: those whose id is their component's, and those without an id. Null, empty and blank texts stay; repeated rows stay or go together; all columns stay, whatever their names; an empty table gives an empty result."""
     found = classes_of(docs, width, share)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 16_000, n_features: int
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted of every row. Null and empty texts have no n-grams and get the model's base score."""
+    """doc_id, score, predicted of every row. Null and empty texts have no n-grams and get the model's base score; a null doc_id stays. Repeated rows give repeated rows with equal scores, an empty table an empty result; other columns are not looked at."""
     held = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.intercept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns, whose text scores below the threshold."""
+    """The rows of docs, all columns, whatever their names, whose text scores below the threshold; null and empty texts by the model's base score. Repeated rows stay or go together; an empty table gives an empty result."""
     held = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.intercept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
