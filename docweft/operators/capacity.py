@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweft.shared import cut
+
 #: The longest backlog that is accepted, the backlog that is safe, seconds in which a backlog is to be gone, most workers, a task's seconds without measurements.
 MAX_BACKLOG, SAFE_BACKLOG, DRAIN_S, MAX_WORKERS, TASK_S = 100, 10, 30.0, 15, 1.5
 SATURATED = 9999.0
@@ -41,14 +43,31 @@ def ownership(log: DataFrame) -> DataFrame:
     return owned.withColumn("previous_owner", F.lag("owner").over(own)).filter("owner is not null and (previous_owner is null or previous_owner <> owner)").select("run_id", "event_id", "owner", "previous_owner")
 
 
-def provider_stats(segments: DataFrame) -> DataFrame:
-    """provider, n, success_rate, p50_ms, p90_ms, mean_ms, unfinished: attempts of each worker, latencies of successful ones only.
+def percentiles(values: DataFrame, by: str, value: str, shares: list[int]) -> DataFrame:
+    """`by` and a column p<share> for each share (thousandths): the least whole value that at least that share of a group's values doesn't exceed. Nulls don't count.
 
-    Percentiles are approximate, to a thousandth in rank, so that no task holds a provider's values.
+    Spans of 2**20 are counted first; only the different values of the span in which a share falls are put in order, so no task holds a group's values.
     """
+    span = F.shiftright(value, 20)
+    own = values.filter(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(value).alias("v"), span.alias("span"))
+    spans = own.groupBy("_by", "span").agg(F.count("*").alias("c"))
+    until = lambda *keys: F.sum("c").over(Window.partitionBy("_by", *keys[:-1]).orderBy(keys[-1]))
+    each = spans.withColumn("until", until("span")).withColumn("n", F.sum("c").over(Window.partitionBy("_by")))
+    wanted = F.explode(F.array(*[F.struct(F.lit(x).alias("share"), F.greatest(F.lit(1), F.expr(f"(n * {x} + 999) div 1000")).alias("k")) for x in shares]))
+    hit = each.withColumn("w", wanted).filter("w.k > until - c and w.k <= until").select(F.col("_by").alias("_of"), F.col("span").alias("_span"), "w.share", (F.col("w.k") - F.col("until") + F.col("c")).alias("k"))
+    inside = own.join(hit, F.col("_by").eqNullSafe(F.col("_of")) & (F.col("span") == F.col("_span"))).groupBy("_by", "share", "k", "v").agg(F.count("*").alias("c"))
+    found = inside.withColumn("until", until("share", "v")).filter("k > until - c and k <= until")
+    return found.groupBy(F.col("_by").alias(by)).agg(*[F.max(F.when(F.col("share") == x, F.col("v"))).alias(f"p{x}") for x in shares])
+
+
+def provider_stats(segments: DataFrame) -> DataFrame:
+    """provider, n, success_rate, p50_ms, p90_ms, mean_ms, unfinished: attempts of each worker, latencies of successful ones only. Percentiles are exact."""
+    segments = cut(segments.select(F.col("worker").alias("provider"), "outcome", "duration_ms"))
     good = F.col("outcome") == "completed"
-    at = lambda p: F.percentile_approx(F.when(good, F.col("duration_ms")), F.lit(p), F.lit(1000))
-    return segments.groupBy(F.col("worker").alias("provider")).agg(F.count("*").alias("n"), F.round(F.avg(good.cast("double")), 6).alias("success_rate"), at(0.5).alias("p50_ms"), at(0.9).alias("p90_ms"), F.round(F.avg(F.when(good, F.col("duration_ms"))), 2).alias("mean_ms"), F.count_if(F.col("outcome") == "open").alias("unfinished"))
+    ranks = percentiles(segments.filter(good), "provider", "duration_ms", [500, 900]).withColumnRenamed("provider", "_of")
+    means = segments.groupBy("provider").agg(F.count("*").alias("n"), F.round(F.avg(good.cast("double")), 6).alias("success_rate"), F.round(F.avg(F.when(good, F.col("duration_ms"))), 2).alias("mean_ms"), F.count_if(F.col("outcome") == "open").alias("unfinished"))
+    both = means.join(ranks, F.col("provider").eqNullSafe(F.col("_of")), "left")
+    return both.select("provider", "n", "success_rate", F.col("p500").alias("p50_ms"), F.col("p900").alias("p90_ms"), "mean_ms", "unfinished")
 
 
 def perf_summary(segments: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweft import catalog, functions, sources, streaming
-from docweft.operators import answers, records, runlog, search, text
+from docweft.operators import answers, capacity, records, runlog, search, text
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -243,3 +243,13 @@ def test_limiter_against_brute_force():
         if want[-1]:
             held.append(ms)
     assert got == want and True in got and False in got
+
+
+def test_percentiles_of_providers_are_exact(spark):
+    rows = spark.range(120_000).select((F.col("id") % 3).alias("worker"), (F.col("id") * 7919 % 100_003 * 977 - 40_000_000).alias("duration_ms"), F.when(F.col("id") % 5 == 0, "failed").otherwise("completed").alias("outcome"))
+    few = spark.createDataFrame([(7, 5, "completed"), (7, 4, "completed"), (8, None, "open"), (None, 3, "completed")], "worker long, duration_ms long, outcome string")
+    got = {r["provider"]: (r["p50_ms"], r["p90_ms"]) for r in capacity.provider_stats(rows.union(few)).collect()}
+    for w in range(3):
+        values = sorted(r["duration_ms"] for r in rows.filter(f"worker = {w} and outcome = 'completed'").collect())
+        assert got[w] == tuple(values[-(-len(values) * p // 10) - 1] for p in (5, 9))
+    assert got[7] == (4, 5) and got[8] == (None, None) and got[None] == (3, 3)
