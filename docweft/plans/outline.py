@@ -25,6 +25,12 @@ LEVELS = """lev AS (SELECT doc_id, node_id, (type = 'heading')::INTEGER AS level
   FROM nodes n JOIN lev ON lev.doc_id = n.doc_id AND lev.node_id = n.parent)"""
 
 
+def whole_sections_sql(table: str) -> str:
+    """sections_sql as section_groups documents it: identical neighbouring headings are one, and a document of headings only is one section 0 with all of them as its content."""
+    one = f"cp AS (SELECT * FROM {table} WINDOW w AS (PARTITION BY doc_id ORDER BY pos) QUALIFY NOT coalesce(type = 'heading' AND lag(type) OVER w = 'heading' AND trim(text) = trim(lag(text) OVER w), false)), "
+    return one + sections_sql("cp").replace("sec AS (", "sec AS (SELECT doc_id, 0::BIGINT AS section, []::VARCHAR[] AS path, []::VARCHAR[] AS headings, list(node_id ORDER BY pos) AS contents FROM cp GROUP BY doc_id HAVING bool_and(type = 'heading')\n  UNION ALL ")
+
+
 def sections_sql(table: str) -> str:
     """The heading stack as a recursion from heading to heading."""
     return f"""hd AS (SELECT n.doc_id, n.node_id, trim(n.text) AS t, n.pos, lev.level, row_number() OVER (PARTITION BY n.doc_id ORDER BY n.pos) AS k FROM {table} n JOIN lev ON lev.doc_id = n.doc_id AND lev.node_id = n.node_id WHERE n.type = 'heading'),
@@ -40,8 +46,8 @@ mg AS (SELECT doc_id, arg_min(node_id, pos) AS node_id, min(pos) AS pos, min(pag
 HASH = "substr(sha256(doc_id || '|' || array_to_string(list_sort({ids}), '|')), 1, 16)"
 
 
-def records_sql() -> str:
-    return f"""WITH RECURSIVE {NODES}, {LEVELS}, {MERGED}, {sections_sql("mg")},
+def records_sql(sections=sections_sql) -> str:
+    return f"""WITH RECURSIVE {NODES}, {LEVELS}, {MERGED}, {sections("mg")},
 pr AS (SELECT *, {HASH.format(ids="list_concat(headings, contents)")} AS parent_chunk_id FROM sec),
 ch AS (SELECT pr.doc_id, pr.section, pr.parent_chunk_id, pr.path, m.node_id, m.type, m.page, m.page_end, m.pos, trim(m.text) AS text, substr(sha256(pr.doc_id || '|' || m.node_id), 1, 16) AS chunk_id
   FROM (SELECT *, unnest(contents) AS c FROM pr) pr JOIN mg m ON m.doc_id = pr.doc_id AND m.node_id = pr.c WHERE trim(m.text) <> ''),
@@ -126,9 +132,9 @@ UNION ALL SELECT fg.doc_id, 'cycle', (count(*) + count(DISTINCT fg.parent))::BIG
     "heading_paths": (heading_paths, f"WITH RECURSIVE {NODES}, {LEVELS} SELECT doc_id, node_id, level, array_to_string(path, ' > ') AS path, NULL::VARCHAR AS error FROM lev"),
     "section_groups": (
         section_groups,
-        f"WITH RECURSIVE {NODES}, {LEVELS}, {sections_sql('nodes')} SELECT doc_id, section, array_to_string(path, ' > ') AS path, array_to_string(headings, ',') AS headings, array_to_string(contents, ',') AS contents FROM sec",
+        f"WITH RECURSIVE {NODES}, {LEVELS}, {whole_sections_sql('nodes')} SELECT doc_id, section, array_to_string(path, ' > ') AS path, array_to_string(headings, ',') AS headings, array_to_string(contents, ',') AS contents FROM sec",
     ),
-    "section_records": (section_records, records_sql() + " SELECT doc_id, chunk_id, array_to_string(node_ids, ',') AS node_ids, array_to_string(path, ' > ') AS path, array_to_string(children, ',') AS children FROM rec"),
+    "section_records": (section_records, records_sql(whole_sections_sql) + " SELECT doc_id, chunk_id, array_to_string(node_ids, ',') AS node_ids, array_to_string(path, ' > ') AS path, array_to_string(children, ',') AS children FROM rec"),
     "chunk_graph": (chunk_graph(O.CHUNKS), degrade_sql(O.CHUNKS)),
     # At these limits documents of every stage occur.
     "degrade_chunks": (chunk_graph(40), degrade_sql(40)),
