@@ -6,14 +6,31 @@ that became ready in the round before with their edges, so there are as many rou
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from docweft.operators.outline import chains
 from docweft.shared import cut, none_in
 
 #: What is taken for a stage without a finished task; shares of the buffer that decide about an agreed time.
 DURATION, SLA = 1000.0, 30_000.0
+#: Runs of at most RUN tasks and edges are worked off within a task of Spark, some BUCKET rows of many runs at a time; longer ones level by level over all tasks.
+RUN, BUCKET = 50_000, 200_000
+
+
+def by_levels() -> tuple[Column, ...]:
+    """A plan of schedule() that only asks for levels."""
+    return F.lit(False), F.lit(0.0), F.lit(0.0), F.lit(0.0)
+
+
+def by_weights() -> tuple[Column, ...]:
+    """A plan of schedule(): each task takes its weight."""
+    return F.lit(True), F.lit(None), F.lit(0.0), F.col("weight")
 
 
 def known_edges(tasks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -49,9 +66,119 @@ def propagate(tasks: DataFrame, edges: DataFrame, end: Column) -> DataFrame:
     return out
 
 
+def _peel(n: int, source: np.ndarray, target: np.ndarray, free: np.ndarray, told: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """at, end (NaN: none) and level (-1: none) of n tasks as propagate() has them: a free task ends `length` after at (first, without), another one as told."""
+    order = np.argsort(source, kind="stable")
+    target = target[order]
+    start = np.searchsorted(source[order], np.arange(n + 1))
+    left, at, end, level = np.bincount(target, minlength=n), np.full(n, -np.inf), np.full(n, np.nan), np.full(n, -1, np.int32)
+    front, depth = np.flatnonzero(left == 0), 0
+    while len(front):
+        level[front] = depth
+        end[front] = np.where(free[front], np.where(at[front] == -np.inf, first[front], at[front]) + length[front], told[front])
+        many = start[front + 1] - start[front]
+        ahead = target[np.repeat(start[front] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        np.maximum.at(at, ahead, np.repeat(np.where(np.isnan(end[front]), -np.inf, end[front]), many))
+        np.subtract.at(left, ahead, 1)
+        front, depth = np.unique(ahead[left[ahead] == 0]), depth + 1
+    at[(level < 0) | (at == -np.inf)] = np.nan
+    return at, end, level
+
+
+def _worked_off(plans: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The tasks of a bucket of whole runs with what schedule() adds."""
+
+    def codes(*columns: pa.ChunkedArray) -> list[np.ndarray]:
+        all_codes = pa.chunked_array([c for x in columns for c in x.cast(pa.int64()).chunks], type=pa.int64()).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.split(all_codes, np.cumsum([len(x) for x in columns])[:-1])
+
+    def run(tasks: pa.Table, edges: pa.Table) -> pa.Table:
+        n, m = len(tasks), len(edges)
+        runs, edge_runs = codes(tasks["run_id"], edges["run_id"])
+        own, parent, child = codes(tasks["task"], edges["parent"], edges["child"])
+        key = np.where((runs >= 0) & (own >= 0), runs * (n + 2 * m + 1) + own, -1 - np.arange(n))
+        order = np.argsort(key)
+        place = lambda task: np.minimum(np.searchsorted(key[order], edge_runs * (n + 2 * m + 1) + task), n - 1)
+        known = lambda task: (edge_runs >= 0) & (task >= 0) & (key[order][place(task)] == edge_runs * (n + 2 * m + 1) + task)
+        some = known(parent) & known(child) if n else np.zeros(m, bool)
+        pairs = np.unique(order[place(parent)][some] * n + order[place(child)][some]) if n else np.zeros(0, np.int64)
+        source, target = pairs // max(n, 1), pairs % max(n, 1)
+        number = tasks["task"].cast(pa.int64()).fill_null(0).to_numpy()
+        out = tasks.drop_columns(["_bucket"])
+        for p in plans:
+            free = tasks[f"{p}_free"].combine_chunks().fill_null(False).to_numpy(zero_copy_only=False)
+            told, first, length = (tasks[f"{p}_{c}"].combine_chunks().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) for c in ("told", "first", "length"))
+            at, end, level = _peel(n, source, target, free, told, first, length)
+            tail = np.nan_to_num(_peel(n, target, source, free, np.zeros(n), np.zeros(n), length)[0])
+            # via: of the parents that end last the least; none for tasks without a level.
+            ends = np.where(np.isnan(end[source]), -np.inf, end[source])
+            best = np.lexsort((number[source], -ends, target))
+            best = best[level[target[best]] >= 0]
+            heads = best[np.append(True, target[best][1:] != target[best][:-1])] if len(best) else best
+            via = np.full(n, -1)
+            via[target[heads]] = source[heads]
+            # The path: back from the task that ends last (the least of several).
+            ended = np.flatnonzero(~np.isnan(end))
+            ended = ended[np.lexsort((number[ended], -end[ended], runs[ended]))]
+            last = ended[np.append(True, runs[ended][1:] != runs[ended][:-1])] if len(ended) else ended
+            finish = np.full(max(runs.max(initial=-1), 0) + 2, np.nan)
+            finish[runs[last]] = end[last]
+            back, longest, now, steps = np.full(n, -1), np.zeros(max(runs.max(initial=-1), 0) + 2, np.int64), last, 0
+            while len(now):
+                back[now], longest[runs[now]] = steps, steps
+                now, steps = via[now][via[now] >= 0], steps + 1
+            add = {"at": pa.array(at, mask=np.isnan(at)), "via": pa.array(number[via] if n else number, pa.int64(), mask=via < 0), "end": pa.array(end, mask=np.isnan(end)), "level": pa.array(level, mask=level < 0)}
+            add |= {"step": pa.array((longest[runs] - back + 1).astype(np.int32), mask=back < 0), "tail": pa.array(tail), "finish": pa.array(finish[runs], mask=np.isnan(finish[runs]))}
+            out = out.drop_columns([f"{p}_{c}" for c in ("free", "told", "first", "length")])
+            for name, column in add.items():
+                out = out.append_column(f"{p}_{name}", column)
+        return out
+
+    return run
+
+
+def schedule(tasks: DataFrame, edges: DataFrame, **plans: tuple[Column, Column, Column, Column]) -> DataFrame:
+    """tasks with <plan>_at, via, end and level as of propagate(), <plan>_step (place on the run's critical path, from 1, or null) <plan>_tail (how long what must follow by way of free tasks takes at most) and <plan>_finish (the run's latest end).
+
+    A plan is free, told, first and length, expressions over the columns of tasks: a free task ends `length` after its parents (after first, without), another one as told. tasks and edges are read twice and
+    shuffled once, whole runs together; run_id and task are longs, and a task comes once in a run.
+    """
+    fields = ("free", "told", "first", "length")
+    given = tasks.withColumns({f"{p}_{f}": c.cast("boolean" if f == "free" else "double") for p, plan in plans.items() for f, c in zip(fields, plan)})
+    pairs = edges.select("run_id", "parent", "child")
+    sizes = tasks.select("run_id").unionByName(pairs.select("run_id")).groupBy("run_id").agg(F.count("*").alias("n"))
+    rows, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.when(F.col("run_id").isNotNull(), F.col("n"))), F.lit(0))).first()
+    long = cut(sizes.filter((F.col("n") > RUN) & F.col("run_id").isNotNull()).select("run_id")) if most > RUN else None
+    short = (lambda df: df.join(long, "run_id", "left_anti")) if long is not None else (lambda df: df)
+    kinds = {"at": S.DoubleType(), "via": S.LongType(), "end": S.DoubleType(), "level": S.IntegerType(), "step": S.IntegerType(), "tail": S.DoubleType(), "finish": S.DoubleType()}
+    schema = S.StructType([S.StructField(f.name, f.dataType) for f in tasks.schema] + [S.StructField(f"{p}_{k}", v) for p in plans for k, v in kinds.items()])
+    bucket = F.pmod(F.xxhash64(F.coalesce("run_id", F.lit(0)), F.when(F.col("run_id").isNull(), F.col("_salt"))), F.lit(max(1, -(-rows // BUCKET)))).cast("int")
+    dealt = lambda df, salt: df.withColumn("_salt", salt).withColumn("_bucket", bucket).drop("_salt").groupBy("_bucket")
+    out = dealt(short(given), F.col("task")).cogroup(dealt(short(pairs), F.col("child"))).applyInArrow(_worked_off(list(plans)), schema)
+    if long is not None:
+        out = out.unionByName(_schedule_long(given.join(long, "run_id", "left_semi"), pairs.join(long, "run_id", "left_semi"), list(plans)).select(out.columns))
+    return out
+
+
+def _schedule_long(given: DataFrame, edges: DataFrame, plans: list[str]) -> DataFrame:
+    """schedule() of runs that are too long for one task of Spark, by propagate() and chains()."""
+    out = given = cut(given)
+    for p in plans:
+        free, length, c = F.coalesce(F.col(f"{p}_free"), F.lit(False)), F.col(f"{p}_length"), ["run_id", "task"]
+        one = given.select(*c, *[f"{p}_{f}" for f in ("free", "told", "first", "length")])
+        ahead = cut(propagate(one, edges, F.when(free, F.coalesce("at", f"{p}_first") + length).otherwise(F.col(f"{p}_told"))).select(*c, *[F.col(x).alias(f"{p}_{x}") for x in ("at", "via", "end", "level")]))
+        back = edges.select("run_id", F.col("child").alias("parent"), F.col("parent").alias("child"))
+        after = propagate(one, back, F.when(free, F.coalesce("at", F.lit(0.0)) + length).otherwise(F.lit(0.0))).select(*c, F.coalesce("at", F.lit(0.0)).alias(f"{p}_tail"))
+        nodes = ahead.select("run_id", F.col("task").cast("string").alias("node_id"), F.col(f"{p}_via").cast("string").alias("parent"), "task")
+        last = ahead.filter(F.col(f"{p}_end").isNotNull()).groupBy("run_id").agg(F.max(F.struct(f"{p}_end", (-F.col("task")).alias("t"))).alias("e")).select("run_id", (-F.col("e.t")).cast("string").alias("node_id"))
+        steps = chains(nodes, F.col("task"), "run_id").join(last, ["run_id", "node_id"]).select("run_id", F.posexplode("chain").alias("s", "task")).select(*c, (F.col("s") + 1).alias(f"{p}_step"))
+        out = out.drop(*[f"{p}_{f}" for f in ("free", "told", "first", "length")]).join(ahead, c).join(after, c).join(steps, c, "left").withColumn(f"{p}_finish", F.max(f"{p}_end").over(Window.partitionBy("run_id")))
+    return out
+
+
 def cycles(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     """run_id, n: how many tasks lie on a cycle or behind one, of the runs that have such, by peeling off tasks without an open parent until nothing changes."""
-    return propagate(tasks, edges, F.lit(0.0)).filter("level is null").groupBy("run_id").agg(F.count("*").alias("n"))
+    return schedule(tasks.select("run_id", "task"), edges, p=by_levels()).filter("p_level is null").groupBy("run_id").agg(F.count("*").alias("n"))
 
 
 def critical_paths(tasks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -59,17 +186,13 @@ def critical_paths(tasks: DataFrame, edges: DataFrame) -> DataFrame:
 
     A run whose tasks all lie on cycles has no path; the weights of a path's tasks add up to the last one's finish.
     """
-    found = cut(propagate(tasks, edges, F.coalesce("at", F.lit(0.0)) + F.col("weight")))
-    nodes = found.select("run_id", F.col("task").cast("string").alias("node_id"), F.col("via").cast("string").alias("parent"), "task", "via", "weight", F.col("end").alias("finish"))
-    last = found.filter("end is not null").groupBy("run_id").agg(F.max(F.struct("end", (-F.col("task")).alias("t"))).alias("e")).select("run_id", (-F.col("e.t")).cast("string").alias("node_id"))
-    item = F.struct("task", "via", "weight", F.round("finish", 2).alias("finish"))
-    path = chains(nodes, item, "run_id").join(last, ["run_id", "node_id"])
-    return path.select("run_id", F.posexplode("chain").alias("step", "x")).select("run_id", (F.col("step") + 1).alias("step"), "x.task", "x.via", "x.weight", "x.finish")
+    found = schedule(tasks.select("run_id", "task", "weight"), edges, p=by_weights()).filter("p_step is not null")
+    return found.select("run_id", F.col("p_step").alias("step"), "task", F.col("p_via").alias("via"), "weight", F.round("p_end", 2).alias("finish"))
 
 
 def spans(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     """run_id, task, parent (the first of its parents), depth (how many parents lie above it at most), start_ms, duration_ms, place: spans of a flame graph, in order of start, depth, duration (longest first) and task. tasks: start_ms, duration_ms."""
-    found = propagate(tasks, edges, F.lit(0.0))
+    found = schedule(tasks, edges, p=by_levels()).withColumnRenamed("p_level", "level")
     first = known_edges(tasks, edges).groupBy("run_id", F.col("child").alias("task")).agg(F.min("parent").alias("parent"))
     place = F.row_number().over(Window.partitionBy("run_id").orderBy("start_ms", "level", F.desc("duration_ms"), "task"))
     return found.join(first, ["run_id", "task"], "left").select("run_id", "task", "parent", F.col("level").alias("depth"), "start_ms", "duration_ms", place.alias("place"))
@@ -87,26 +210,36 @@ def stage_means(tasks: DataFrame) -> DataFrame:
     return c.select("run_id", "stage", mean.alias("mean_ms"), F.coalesce("wait", F.lit(0.0)).alias("mean_wait_ms"), (F.col("retries") / F.col("n") * mean).alias("retry_ms"))
 
 
+def with_means(tasks: DataFrame) -> DataFrame:
+    """tasks with now_ms as of now_of() and mean_ms, mean_wait_ms and retry_ms of their stage as of stage_means(), in place: runs stay together, so nothing is shuffled for it where tasks come by run_id."""
+    run, stage = Window.partitionBy("run_id"), Window.partitionBy("run_id", "stage")
+    status = F.col("status")
+    now = F.max(F.when(status == "completed", F.col("end_ms")).when(status == "running", F.col("start_ms"))).over(run)
+    mean = F.coalesce(F.avg(F.when(status == "completed", F.col("end_ms") - F.col("start_ms"))).over(stage), F.lit(DURATION))
+    wait = F.coalesce(F.avg(F.when(status.isin("completed", "running"), F.col("wait_ms"))).over(stage), F.lit(0.0))
+    out = tasks.withColumns({"now_ms": F.coalesce(now, F.lit(0)).cast("double"), "mean_ms": mean, "mean_wait_ms": wait, "_again": F.sum(F.col("attempts") - 1).over(stage) / F.count("*").over(stage)})
+    return out.withColumn("retry_ms", F.col("_again") * F.col("mean_ms")).drop("_again")
+
+
+def by_forecast() -> tuple[Column, ...]:
+    """A plan of schedule() over with_means(): what has begun can't be moved."""
+    status = F.col("status")
+    running = F.col("now_ms") + F.greatest(F.lit(0.0), F.col("mean_ms") - (F.col("now_ms") - F.col("start_ms")))
+    told = F.when(status == "completed", F.col("end_ms")).when(status == "running", running)
+    return ~status.isin("completed", "running"), told, F.col("now_ms"), F.col("mean_wait_ms") + F.col("mean_ms") + F.col("retry_ms")
+
+
 def task_forecast(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     """run_id, task, stage, status, predicted_start_ms, predicted_end_ms, slack_ms of each task (tasks: stage, status, start_ms, end_ms, wait_ms, attempts).
 
     A completed task keeps its times, a running one ends when its stage's mean is over; any other begins after the last of its parents (now, without parents) and the stage's mean wait, and takes the mean and
     what retries add. slack is how much later a task could end without its run ending later. Tasks on a cycle or behind one have no forecast.
     """
-    told = cut(tasks.join(stage_means(tasks), ["run_id", "stage"]).join(now_of(tasks), "run_id"))
-    pending = ~F.col("status").isin("completed", "running")
-    length = F.col("mean_wait_ms") + F.col("mean_ms") + F.col("retry_ms")
-    running = F.col("now_ms") + F.greatest(F.lit(0.0), F.col("mean_ms") - (F.col("now_ms") - F.col("start_ms")))
-    end = F.when(F.col("status") == "completed", F.col("end_ms")).when(F.col("status") == "running", running).otherwise(F.coalesce("at", "now_ms") + length)
-    ahead = cut(propagate(told, edges, end).withColumnRenamed("end", "predicted_end_ms").drop("via", "level"))
-    start = F.when(pending, F.coalesce("at", "now_ms") + F.col("mean_wait_ms")).otherwise(F.col("start_ms")).cast("double")
-    # Backwards: how long what must follow a task takes at most. What has begun can't be moved, so nothing must follow by way of it.
-    back = edges.select("run_id", F.col("child").alias("parent"), F.col("parent").alias("child"))
-    after = propagate(told, back, F.when(pending, F.coalesce("at", F.lit(0.0)) + length).otherwise(F.lit(0.0))).select("run_id", "task", F.coalesce("at", F.lit(0.0)).alias("tail"))
-    finish = F.max("predicted_end_ms").over(Window.partitionBy("run_id"))
-    both = ahead.withColumn("predicted_start_ms", start).join(after, ["run_id", "task"]).withColumn("slack", finish - F.col("predicted_end_ms") - F.col("tail"))
-    known = F.col("predicted_end_ms").isNotNull()
-    return both.select("run_id", "task", "stage", "status", F.round(F.when(known, F.col("predicted_start_ms")), 3).alias("predicted_start_ms"), F.round("predicted_end_ms", 3).alias("predicted_end_ms"), F.round("slack", 3).alias("slack_ms"))
+    told = with_means(tasks).select("run_id", "task", "stage", "status", "start_ms", "end_ms", "now_ms", "mean_ms", "mean_wait_ms", "retry_ms")
+    found = schedule(told, edges, f=by_forecast())
+    start = F.when(by_forecast()[0], F.coalesce("f_at", "now_ms") + F.col("mean_wait_ms")).otherwise(F.col("start_ms")).cast("double")
+    slack = F.col("f_finish") - F.col("f_end") - F.col("f_tail")
+    return found.select("run_id", "task", "stage", "status", F.round(F.when(F.col("f_end").isNotNull(), start), 3).alias("predicted_start_ms"), F.round("f_end", 3).alias("predicted_end_ms"), F.round(slack, 3).alias("slack_ms"))
 
 
 def run_outlook(tasks: DataFrame, edges: DataFrame, sla_ms: float = SLA) -> DataFrame:
@@ -115,16 +248,13 @@ def run_outlook(tasks: DataFrame, edges: DataFrame, sla_ms: float = SLA) -> Data
     On Track with more than 20 % of the agreed time left, At Risk with 5 % or more, else Likely Miss; Missed once it has passed. Confidence starts at 100, less 20 (10) below 30 % (60 %) of progress, 15 each for
     retries of more than a fifth of the tasks and for a stage's mean wait over 2 s: High from 75, Medium from 45.
     """
-    tasks = cut(tasks)
-    forecast = task_forecast(tasks, edges).groupBy("run_id").agg(F.max("predicted_end_ms").alias("finish_ms"))
-    means = stage_means(tasks)
-    c = tasks.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "completed").alias("done"), F.sum(F.col("attempts") - 1).alias("retries"))
-    waits = means.groupBy("run_id").agg(F.max("mean_wait_ms").alias("wait"))
-    now = now_of(tasks)
-    on_path = critical_paths(tasks, edges).select("run_id", "task")
+    told = with_means(tasks).select("run_id", "task", "status", "weight", "start_ms", "end_ms", "attempts", "now_ms", "mean_ms", "mean_wait_ms", "retry_ms")
+    each = schedule(told, edges, f=by_forecast(), w=by_weights())
     left = F.when(F.col("status") == "completed", 0.0).when(F.col("status") == "running", F.greatest(F.lit(0.0), F.col("mean_ms") - (F.col("now_ms") - F.col("start_ms")))).otherwise(F.col("mean_ms") + F.col("mean_wait_ms") + F.col("retry_ms"))
-    critical = tasks.join(on_path, ["run_id", "task"]).join(means, ["run_id", "stage"]).join(now, "run_id").groupBy("run_id").agg(F.round(F.sum(left), 3).alias("critical_remaining_ms"))
-    both = c.join(waits, "run_id").join(now, "run_id").join(forecast, "run_id").join(critical, "run_id", "left")
+    both = each.groupBy("run_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("status") == "completed").alias("done"), F.sum(F.col("attempts") - 1).alias("retries"), F.max("mean_wait_ms").alias("wait"), F.max("now_ms").alias("now_ms"),
+        F.round(F.max("f_end"), 3).alias("finish_ms"), F.round(F.sum(F.when(F.col("w_step").isNotNull(), left)), 3).alias("critical_remaining_ms"),
+    )
     progress = F.round(F.col("done") / F.col("n") * 100, 2)
     remaining = F.when(F.col("done") == F.col("n"), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("finish_ms") - F.col("now_ms")))
     total = F.col("now_ms") + F.col("remaining_ms")
@@ -210,46 +340,44 @@ def run_bottlenecks(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     again most), idle-workers (busy below 15 % of D), critical-path-length, longest-serial-chain (over 3 tasks on it), excessive-retries (tasks tried again twice or more), worker-starvation (waits over 1 s and
     three times the duration) and queue-imbalance (stages' mean waits more than 1 s apart). Of equals, the least name counts.
     """
-    tasks = cut(tasks)
-    path = critical_paths(tasks.select("run_id", "task", "weight"), edges).select("run_id", "task", F.lit(1).alias("critical"))
-    each = cut(tasks.join(path, ["run_id", "task"], "left").withColumn("retries", F.col("attempts") - 1))
-    run = cut(each.groupBy("run_id").agg(
-        (F.max("end_ms") - F.min("start_ms")).alias("d"), F.max(F.struct("retries", (-F.col("task")).alias("t"))).alias("hot"), F.sum("critical").alias("n_path"),
-        F.sum(F.when(F.col("critical") == 1, F.col("duration_ms")).otherwise(0.0)).alias("path_ms"), F.sum(F.when(F.col("critical") == 1, F.col("wait_ms")).otherwise(0.0)).alias("path_wait"),
-        F.count_if(F.col("retries") >= 2).alias("often"), F.sum(F.when(F.col("retries") > 0, F.col("duration_ms")).otherwise(0.0)).alias("again_ms"),
-        F.sum(F.when((F.col("wait_ms") > 1000) & (F.col("wait_ms") > F.col("duration_ms") * 3), F.col("wait_ms"))).alias("starved"),
-    ))
-    stage = cut(each.groupBy("run_id", "stage").agg(F.avg("wait_ms").alias("wait"), F.sum("duration_ms").alias("total")).join(run.select("run_id", "d"), "run_id"))
-    worker = cut(each.groupBy("run_id", "worker").agg(F.sum("duration_ms").alias("busy")).join(run.select("run_id", "d"), "run_id").withColumn("share", F.when(F.col("d") > 0, F.col("busy") / F.col("d") * 100.0).otherwise(0.0)))
+    names = ["run_id", "task", "stage", "worker", "weight", "start_ms", "end_ms", "duration_ms", "wait_ms", "attempts"]
+    each = cut(schedule(tasks.select(*names), edges, w=by_weights()).select(*names, F.col("w_step").isNotNull().alias("critical")).drop("weight"))
+    critical, retries, wait, duration = F.col("critical"), F.col("attempts") - 1, F.col("wait_ms"), F.col("duration_ms")
+    run = each.groupBy("run_id").agg(
+        (F.max("end_ms") - F.min("start_ms")).alias("d"), F.max(F.struct(retries.alias("retries"), (-F.col("task")).alias("t"))).alias("hot"), F.sum(F.when(critical, 1)).alias("n_path"),
+        F.sum(F.when(critical, duration).otherwise(0.0)).alias("path_ms"), F.sum(F.when(critical, wait).otherwise(0.0)).alias("path_wait"),
+        F.count_if(retries >= 2).alias("often"), F.sum(F.when(retries > 0, duration).otherwise(0.0)).alias("again_ms"),
+        F.sum(F.when((wait > 1000) & (wait > duration * 3), wait)).alias("starved"),
+    )
+    # Of the groups with the greatest value the one with the least name.
+    most = lambda value, name: F.min(F.struct(F.isnull(value).alias("no"), (-F.col(value)).alias("minus"), F.col(name).alias("name"), F.col(value).alias("v")))
+    stage = each.groupBy("run_id", "stage").agg(F.avg("wait_ms").alias("wait"), F.sum("duration_ms").alias("total"))
+    stage = stage.groupBy("run_id").agg(most("wait", "stage").alias("slow"), most("total", "stage").alias("long"), (F.max("wait") - F.min("wait")).alias("gap"))
+    worker = each.groupBy("run_id", "worker").agg(F.sum("duration_ms").alias("busy")).join(run.select("run_id", "d"), "run_id").withColumn("share", F.when(F.col("d") > 0, F.col("busy") / F.col("d") * 100.0).otherwise(0.0))
+    worker = worker.groupBy("run_id").agg(most("share", "worker").alias("busiest"), F.bool_or(F.col("share") < 15).alias("idle"))
+    both = run.join(stage, "run_id", "left").join(worker, "run_id", "left")
     d = F.greatest("d", F.lit(1.0))
     one = F.lit(1.0)
 
-    def most(df: DataFrame, value: str, name: str) -> DataFrame:
-        best = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc(value), name))
-        return df.withColumn("_r", best).filter("_r = 1")
-
-    def rule(df: DataFrame, when: Column, name: Column, severity: Column, impact: Column, affected: Column) -> DataFrame:
-        return df.filter(when).select("run_id", name.alias("id"), severity.alias("severity"), (F.floor(impact.cast("double") * 1e6) / 1e6).alias("impact"), (F.floor(affected.cast("double") * 1e3) / 1e3).alias("affected_ms"))
-
-    w, share, pct = F.col("wait"), F.col("share"), F.col("total") / d * 100.0
-    hot = F.col("hot.retries")
-    idle = worker.filter("share < 15 and d > 1000").groupBy("run_id").agg(F.max("d").alias("d"))
-    waits = stage.groupBy("run_id").agg((F.max("wait") - F.min("wait")).alias("gap"))
-    found = [
-        rule(most(stage, "wait", "stage"), w > 500, F.concat(F.lit("queue-delay-"), "stage"), _severity(w, (5000.0, "critical"), (2000.0, "high"), least="medium"), F.least(one, w / d), w),
-        rule(most(worker, "share", "worker"), share > 50, F.concat(F.lit("worker-saturation-"), "worker"), _severity(share, (90.0, "critical"), (75.0, "high"), least="medium"), share / 100.0, F.floor(F.col("d") * share / 100.0)),
-        rule(most(stage, "total", "stage"), F.col("total") > 100, F.concat(F.lit("slow-stage-"), "stage"), _severity(pct, (40.0, "critical"), (25.0, "high"), least="low"), F.least(one, pct / 100.0), F.col("total")),
-        rule(run, hot > 0, F.concat(F.lit("retry-hotspot-task-"), -F.col("hot.t")), _severity(hot, (2.0, "critical"), (1.0, "high"), least="medium"), F.least(one, hot * 500.0 / d), hot * 1000.0),
-        rule(idle, F.lit(True), F.lit("idle-workers"), F.lit("low"), F.lit(0.2), F.floor(F.col("d") * 0.15)),
-        rule(run, F.col("n_path") > 0, F.lit("critical-path-length"), F.when(F.col("path_ms") / d > 0.6, "high").otherwise("medium"), F.col("path_ms") / d, F.floor(F.col("path_ms") + F.col("path_wait"))),
-        rule(run, F.col("n_path") > 3, F.lit("longest-serial-chain"), F.when(F.col("n_path") > 6, "high").otherwise("medium"), F.lit(0.5), F.floor("path_ms")),
-        rule(run, F.col("often") > 0, F.lit("excessive-retries"), F.lit("high"), F.lit(0.4), F.floor("again_ms")),
-        rule(run, F.col("starved").isNotNull(), F.lit("worker-starvation"), F.lit("medium"), F.lit(0.3), F.floor("starved")),
-        rule(waits, F.col("gap") > 1000, F.lit("queue-imbalance"), F.lit("medium"), F.lit(0.2), F.floor("gap")),
-    ]
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    rank = F.when(F.col("severity") == "critical", 4).when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).otherwise(1)
-    place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc(rank), F.desc("impact"), F.desc("affected_ms"), "id"))
-    return out.select("run_id", place.alias("place"), "id", "severity", "impact", "affected_ms")
+    def rule(when: Column, name: Column, severity: Column, impact: Column, affected: Column) -> Column:
+        impact, affected = F.floor(impact.cast("double") * 1e6) / 1e6, F.floor(affected.cast("double") * 1e3) / 1e3
+        rank = F.when(severity == "critical", 4).when(severity == "high", 3).when(severity == "medium", 2).otherwise(1)
+        after = lambda c: F.coalesce(-c, F.lit(float("inf")))
+        return F.when(when, F.struct((-rank).alias("a"), after(impact).alias("b"), after(affected).alias("c"), name.alias("id"), severity.alias("severity"), impact.alias("impact"), affected.alias("affected_ms")))
+
+    w, share, total = F.col("slow.v"), F.col("busiest.v"), F.col("long.v")
+    pct, hot = total / d * 100.0, F.col("hot.retries")
+    found = F.array(
+        rule(w > 500, F.concat(F.lit("queue-delay-"), "slow.name"), _severity(w, (5000.0, "critical"), (2000.0, "high"), least="medium"), F.least(one, w / d), w),
+        rule(share > 50, F.concat(F.lit("worker-saturation-"), "busiest.name"), _severity(share, (90.0, "critical"), (75.0, "high"), least="medium"), share / 100.0, F.floor(F.col("d") * share / 100.0)),
+        rule(total > 100, F.concat(F.lit("slow-stage-"), "long.name"), _severity(pct, (40.0, "critical"), (25.0, "high"), least="low"), F.least(one, pct / 100.0), total),
+        rule(hot > 0, F.concat(F.lit("retry-hotspot-task-"), -F.col("hot.t")), _severity(hot, (2.0, "critical"), (1.0, "high"), least="medium"), F.least(one, hot * 500.0 / d), hot * 1000.0),
+        rule(F.col("idle") & (F.col("d") > 1000), F.lit("idle-workers"), F.lit("low"), F.lit(0.2), F.floor(F.col("d") * 0.15)),
+        rule(F.col("n_path") > 0, F.lit("critical-path-length"), F.when(F.col("path_ms") / d > 0.6, "high").otherwise("medium"), F.col("path_ms") / d, F.floor(F.col("path_ms") + F.col("path_wait"))),
+        rule(F.col("n_path") > 3, F.lit("longest-serial-chain"), F.when(F.col("n_path") > 6, "high").otherwise("medium"), F.lit(0.5), F.floor("path_ms")),
+        rule(F.col("often") > 0, F.lit("excessive-retries"), F.lit("high"), F.lit(0.4), F.floor("again_ms")),
+        rule(F.col("starved").isNotNull(), F.lit("worker-starvation"), F.lit("medium"), F.lit(0.3), F.floor("starved")),
+        rule(F.col("gap") > 1000, F.lit("queue-imbalance"), F.lit("medium"), F.lit(0.2), F.floor("gap")),
+    )
+    placed = both.select("run_id", F.posexplode(F.sort_array(F.array_compact(found))).alias("place", "x"))
+    return placed.select("run_id", (F.col("place") + 1).alias("place"), "x.id", "x.severity", "x.impact", "x.affected_ms")

@@ -22,26 +22,29 @@ def lines(s, d):
     return t(s, d, "lineitem").withColumn("n", F.row_number().over(own).cast("long"))
 
 
-def tasks(s, d):
+def tasks(s, d, **more):
     """Stages by return flag, status by discount, times by quantity, attempts by tax."""
     start = (F.col("n") - 1) * 1000.0
     status = F.when(F.col("l_discount") < 0.04, "completed").when(F.col("l_discount") < 0.06, "running").when(F.col("l_discount") < 0.07, "failed").otherwise("pending")
     return lines(s, d).select(
         F.col("l_orderkey").alias("run_id"), number(F.col("n")).alias("task"), F.col("l_returnflag").alias("stage"), F.col("l_quantity").alias("weight"), status.alias("status"), start.alias("start_ms"),
         (F.col("l_quantity") * 100.0).alias("duration_ms"), (start + F.col("l_quantity") * 100.0).alias("end_ms"), (F.col("l_quantity") * 10.0).alias("wait_ms"), (1 + F.round(F.col("l_tax") * 100).cast("int") % 3).alias("attempts"),
+        *[c.alias(name) for name, c in more.items()],
     )
 
 
 def worked(s, d):
     """Tasks with the supplier as worker, and waits by price."""
-    own = lines(s, d).select(F.col("l_orderkey").alias("run_id"), number(F.col("n")).alias("task"), F.col("l_suppkey").cast("string").alias("worker"), F.round(F.col("l_extendedprice") / 10.0).alias("wait_ms"))
-    return tasks(s, d).drop("wait_ms").join(own, ["run_id", "task"])
+    own = tasks(s, d, worker=F.col("l_suppkey").cast("string"), waited=F.round(F.col("l_extendedprice") / 10.0))
+    return own.drop("wait_ms").withColumnRenamed("waited", "wait_ms")
 
 
 def edges(s, d):
-    """Task n waits for n // 2 and, if 3 divides n, for n - 1."""
+    """Task n waits for n // 2 and, if 3 divides n, for n - 1. A run's tasks are numbered from 1, so their count tells all of them."""
+    n = t(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count("*").alias("n"))
     parents = F.filter(F.array(F.floor(F.col("n") / 2), F.when(F.col("n") % 3 == 0, F.col("n") - 1).otherwise(F.lit(0))), lambda p: p > 0)
-    return lines(s, d).select(F.col("l_orderkey").alias("run_id"), "n", F.explode(parents).alias("p")).select("run_id", number(F.col("p")).alias("parent"), number(F.col("n")).alias("child"))
+    each = n.select("run_id", F.explode(F.sequence(F.lit(1), "n")).alias("n"))
+    return each.select("run_id", "n", F.explode(parents).alias("p")).select("run_id", number(F.col("p")).alias("parent"), number(F.col("n")).alias("child"))
 
 
 def looped(s, d):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 from pyspark.sql import functions as F
 
+from docweft import shared
 from docweft.operators import dag
 
 
@@ -73,3 +75,31 @@ def test_every_issue_of_a_layout(spark):
     found = {(r["issue"], r["n"]) for r in dag.layout_issues(nodes, edges).collect()}
     assert found == {("missing_id", 1), ("duplicate_id", 1), ("missing_bbox", 1), ("reading_order", 1), ("unknown_end", 1), ("orphan", 1), ("cycle", 3)}
     assert dag.layout_issues(nodes.limit(0), edges.limit(0)).count() == 0
+
+
+def timed(spark):
+    rng, rows, edges = random.Random(4), [], []
+    for run in range(6):
+        order = rng.sample(range(100), rng.randrange(1, 9))
+        rows += [(run, x, rng.choice("AB"), float(rng.randrange(1, 9)), rng.choice(["completed", "pending", "running"]), float(i), float(i + rng.randrange(1, 9)), 2.0, rng.randrange(1, 3)) for i, x in enumerate(order)]
+        edges += [(run, order[i], order[j]) for j in range(len(order)) for i in range(j) if rng.random() < 0.5]
+    edges += [(0, 999, rows[0][1]), edges[0], (5, rows[-1][1], rows[-1][1])]  # from an unknown task, repeated, a cycle
+    return spark.createDataFrame(rows, "run_id long, task long, stage string, weight double, status string, start_ms double, end_ms double, wait_ms double, attempts int"), spark.createDataFrame(edges, "run_id long, parent long, child long")
+
+
+def test_long_runs_have_the_results_of_short_ones(spark, monkeypatch):
+    t, e = timed(spark)
+    ask = lambda: [sorted(map(str, df.collect())) for df in (dag.task_forecast(t, e), dag.critical_paths(t, e))]
+    short = ask()
+    monkeypatch.setattr(dag, "RUN", 8)
+    assert ask() == short and all(short)
+
+
+def test_tables_written_do_not_grow_with_the_depth(spark):
+    n = 30
+    rows = [(1, i, "A", 1.0, "pending", 0.0, 1.0, 2.0, 1) for i in range(n)]
+    t = spark.createDataFrame(rows, "run_id long, task long, stage string, weight double, status string, start_ms double, end_ms double, wait_ms double, attempts int")
+    e = spark.createDataFrame([(1, i, i + 1) for i in range(n - 1)], "run_id long, parent long, child long")
+    before = len(os.listdir(shared.folder(spark)))
+    assert dag.run_outlook(t, e).count() == 1 and dag.task_forecast(t, e).count() == n
+    assert len(os.listdir(shared.folder(spark))) - before <= 2
