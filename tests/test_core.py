@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docweft import catalog, functions, sources, streaming
 from docweft.operators import answers, capacity, records, runlog, search, text
+from docweft.plans import search as search_plans
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -253,3 +254,10 @@ def test_percentiles_of_providers_are_exact(spark):
         values = sorted(r["duration_ms"] for r in rows.filter(f"worker = {w} and outcome = 'completed'").collect())
         assert got[w] == tuple(values[-(-len(values) * p // 10) - 1] for p in (5, 9))
     assert got[7] == (4, 5) and got[8] == (None, None) and got[None] == (3, 3)
+
+
+@pytest.mark.parametrize("name, step", [("ablation", "truth"), ("ablation", "lists"), ("group_expansion", "bm25")])
+def test_a_search_is_made_once_a_query(spark, monkeypatch, name, step):
+    made, whole = [], getattr(search_plans, step)
+    monkeypatch.setattr(search_plans, step, lambda s, d: made.append(whole(s, d)) or made[-1])
+    assert catalog.QUERIES[name](spark, DATA).count() and len(made) == 1
