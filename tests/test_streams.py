@@ -149,3 +149,28 @@ def test_index_fed_by_a_stream(spark, tmp_path):
     queries = spark.createDataFrame([(1, "the of and"), (2, "une les de")], "query_id long, text string")
     left = docs.filter("doc_id % 3 <> 0").filter("text is not null")
     assert sorted(tuple(r) for r in index.search(spark, root, queries, 5).collect()) == sorted(tuple(r) for r in search.bm25(left, queries, 5).collect())
+
+
+def test_counted_terms(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b", "ç", "b"]), (3, None), (4, ["x"])], "doc_id long, tokens array<string>")
+    got = {r["doc_id"]: (r["length"], r["n_terms"], sorted(tuple(x) for x in r["terms"])) for r in rows.mapInArrow(index.count_terms, "doc_id long, length int, n_terms int, terms array<struct<term:string,tf:long>>").collect()}
+    assert got == {1: (5, 3, [("a", 1), ("b", 3), ("ç", 1)]), 3: (None, 0, []), 4: (1, 1, [("x", 1)])}
+
+
+def test_index_is_written_by_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """A slot was one task's work, however many postings it had; what a batch takes back is found without reading postings."""
+    monkeypatch.setattr(index, "POSTED", 25)
+    root = f"{tmp_path}/index"
+    docs = spark.range(100).selectExpr("id AS doc_id", "'common words' AS text")
+    index.build(docs, root)
+    slots = {p.parent.name: 0 for p in tmp_path.glob("index/postings/batch=0/slot=*/*.parquet")}
+    for p in tmp_path.glob("index/postings/batch=0/slot=*/*.parquet"):
+        slots[p.parent.name] += 1
+    assert max(slots.values()) > 1
+    (tmp_path / "index/postings").rename(tmp_path / "index/aside")
+    (tmp_path / "index/postings").mkdir()
+    index.update(docs.filter("doc_id < 40").selectExpr("doc_id", "text", "'delete' AS op"), root, 1)
+    index.compact(spark, root, f"{root}-2")
+    assert tuple(index.index_counts(spark, root).first())[:3] == (60, 120, 2)
+    queries = spark.createDataFrame([(1, "common")], "query_id long, text string")
+    assert sorted(tuple(r) for r in index.search(spark, f"{root}-2", queries, 5).collect()) == sorted(tuple(r) for r in search.bm25(docs.filter("doc_id >= 40"), queries, 5).collect())
