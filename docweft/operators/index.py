@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweft import functions as T
-from docweft.operators.search import MOST_TERMS, top
+from docweft.operators.search import MOST_TERMS, add_up, top
 from docweft.shared import cut
 
 SLOTS = 16
@@ -144,8 +144,8 @@ def search(spark: SparkSession, root: str, queries: DataFrame, k: int = 30, b: f
     idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1.0 - b + b * F.col("length") / F.col("avg_length"))
     weighted = found.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "doc_id", (idf * F.col("tf") * (k1 + 1.0) / norm).alias("w"))  # one row of statistics
-    # Where the queries' terms are few, what each document has of them is dealt once, by document; a task adds up its documents' scores and keeps the best.
-    scores = (weighted.repartition("doc_id") if few else weighted).join(small(terms), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    n_docs = read(spark, root, "stats", done).agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    scores = add_up(weighted, terms, n_docs, queries.count())
     return top(scores, "query_id", k, F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", "score")
 
 

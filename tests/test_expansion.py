@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweft.operators import expansion
+from docweft.operators import expansion, search
 
 
 def test_hops_merging_and_limits(spark):
@@ -23,3 +23,24 @@ def test_a_frequent_text_makes_no_pairs_of_all_its_blocks(spark):
     blocks = spark.range(300).selectExpr("id AS doc_id", "1 AS page", "0 AS pos", "'same' AS text")
     found = expansion.block_relations(blocks)
     assert found.count() == 300 * 11 - 11 and {r["to_doc"] for r in found.select("to_doc").distinct().collect()} == set(range(11))
+
+
+def test_a_hop_ranks_the_relations_of_its_own_chunks(spark, monkeypatch):
+    plans, real = [], expansion.cut
+    monkeypatch.setattr(expansion, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    blocks = spark.range(300).selectExpr("id AS doc_id", "1 AS page", "0 AS pos", "'same' AS text")
+    seeds = spark.createDataFrame([(1, 7, 0, 1.0)], "query_id long, doc_id long, pos int, score double")
+    found = expansion.expand_chunks(seeds, expansion.block_relations(blocks), 1)
+    assert {r["doc_id"] for r in found.collect()} == set(range(11))
+    ranked = [p for p in plans if "Window" in p]
+    assert ranked and all("LeftSemi" in p for p in ranked)
+
+
+def test_scores_are_added_up_by_document_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(search, "PAIRS", 10)
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat('common w', id) AS text")
+    queries = spark.createDataFrame([(1, "common w3"), (2, "w4")], "query_id long, text string")
+    found = search.bm25(docs, queries, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and ", 10), REPARTITION_BY_NUM" in plan
+    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in found.collect()) == [(1, 1, 3), (1, 2, 0), (2, 1, 4)]
