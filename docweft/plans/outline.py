@@ -67,22 +67,26 @@ def nodes(s, d):
     return O.statements(t(s, d, "customer"), t(s, d, "orders"), t(s, d, "lineitem"))
 
 
+def longest(s, d):
+    return O.longest_statement(t(s, d, "orders"), t(s, d, "lineitem"))
+
+
 def heading_paths(s, d):
-    return O.heading_paths(nodes(s, d)).select("doc_id", "node_id", "level", F.array_join("path", " > ").alias("path"), "error")
+    return O.heading_paths(nodes(s, d), longest(s, d)).select("doc_id", "node_id", "level", F.array_join("path", " > ").alias("path"), "error")
 
 
 def section_groups(s, d):
-    return O.section_groups(nodes(s, d)).select("doc_id", "section", F.array_join("path", " > ").alias("path"), F.array_join("headings", ",").alias("headings"), F.array_join("contents", ",").alias("contents"))
+    return O.section_groups(nodes(s, d), longest(s, d)).select("doc_id", "section", F.array_join("path", " > ").alias("path"), F.array_join("headings", ",").alias("headings"), F.array_join("contents", ",").alias("contents"))
 
 
 def section_records(s, d):
-    found = O.section_records(O.merge_pages(cut(nodes(s, d)))).filter("not embed")
+    found = O.section_records(O.merge_pages(nodes(s, d)), longest(s, d)).filter("not embed")
     return found.select("doc_id", "chunk_id", F.array_join("node_ids", ",").alias("node_ids"), F.array_join("path", " > ").alias("path"), F.array_join("children", ",").alias("children"))
 
 
 def chunk_graph(most):
     def run(s, d):
-        found = O.chunk_graph(nodes(s, d), most)
+        found = O.chunk_graph(nodes(s, d), most, longest(s, d))
         return found.select("doc_id", "stage", "chunk_id", "parent_chunk_id", F.array_join("node_ids", ",").alias("node_ids"), F.array_join("path", " > ").alias("path"), "type", "page_start", "page_end", "text", "n_words")
 
     return run
