@@ -310,19 +310,31 @@ def layout_issues(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = (
     nodes: doc_id, node_id, pos (place in the file), reading_order, bbox; edges: doc_id, source, target, type. A cycle is looked for among edges of the given kinds; n is the number of nodes on one or behind one. Edges of reading order, long chains
     that lead nowhere back, are left out of that.
     """
+    # Nodes and edges meet in groups and windows of one document's rows: nothing is shuffled for it where they are dealt by doc_id.
     own = Window.partitionBy("doc_id").orderBy("pos")
-    count = lambda df, issue: df.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(issue).alias("issue"), "n")
-    named = nodes.filter("node_id is not null")
-    twice = named.groupBy("doc_id", "node_id").agg(F.count("*").alias("c")).filter("c > 1").groupBy("doc_id").agg(F.sum(F.col("c") - 1).alias("n")).select("doc_id", F.lit("duplicate_id").alias("issue"), "n")
-    order = nodes.withColumn("_before", F.lag("reading_order").over(own)).filter("reading_order <= _before")
-    ids = named.groupBy("doc_id", "node_id").agg(F.min("pos").cast("long").alias("at"))
-    at = lambda c: ids.select("doc_id", F.col("node_id").alias(c), F.col("at").alias(f"at_{c}"))
-    placed = cut(edges.join(at("source"), ["doc_id", "source"], "left").join(at("target"), ["doc_id", "target"], "left"))
-    ends = edges.select("doc_id", F.col("source").alias("node_id")).union(edges.select("doc_id", "target")).distinct()
-    graph = placed.filter(F.col("type").isin(*kinds) & F.col("at_source").isNotNull() & F.col("at_target").isNotNull()).select(F.col("doc_id").alias("run_id"), F.col("at_source").alias("parent"), F.col("at_target").alias("child"))
+    told = nodes.withColumn("_before", F.lag("reading_order").over(own)).groupBy("doc_id").agg(F.count_if(F.col("node_id").isNull()).alias("missing_id"), F.count_if(F.col("bbox").isNull()).alias("missing_bbox"), F.count_if(F.col("reading_order") <= F.col("_before")).alias("reading_order"))
+    named = nodes.filter("node_id is not null").select("doc_id", "node_id", F.col("pos").cast("long").alias("at"))
+    ends = edges.select("doc_id", F.explode(F.array("source", "target")).alias("node_id"), F.lit(None).cast("long").alias("at")).filter("node_id is not null")
+    ids = named.unionByName(ends).groupBy("doc_id", "node_id").agg(F.count("at").alias("n"), F.count("*").alias("all"), F.min("at").alias("at")).filter("n > 0")
+    ids = cut(ids.select("doc_id", "at", "n", (F.col("all") == F.col("n")).alias("alone")))
+    met = ids.groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("duplicate_id"), F.sum(F.when(F.col("alone"), F.col("n")).otherwise(0)).alias("orphan"))
+
+    def placed(rows: DataFrame, end: str) -> DataFrame:
+        """rows with the place of the node that their end names."""
+        held = [c for c in rows.columns if c != end]
+        both = rows.select(*held, F.col(end).alias("node_id"), F.lit(None).cast("long").alias("at"), F.lit(True).alias("edge"))
+        both = both.unionByName(named.withColumn("edge", F.lit(False)), allowMissingColumns=True)
+        found = F.when(F.col("node_id").isNotNull(), F.min("at").over(Window.partitionBy("doc_id", "node_id")))
+        return both.withColumn(f"at_{end}", found).filter("edge").select(*held, f"at_{end}")
+
+    known = placed(placed(edges.select("doc_id", "source", "target", F.coalesce(F.col("type").isin(*kinds), F.lit(False)).alias("counts")), "source"), "target")
+    known = cut(known.filter(F.col("counts") | F.col("at_source").isNull() | F.col("at_target").isNull()))
+    unknown = F.col("at_source").isNull() | F.col("at_target").isNull()
+    graph = known.filter(F.col("counts") & ~unknown).select(F.col("doc_id").alias("run_id"), F.col("at_source").alias("parent"), F.col("at_target").alias("child"))
     loops = cycles(ids.select(F.col("doc_id").alias("run_id"), F.col("at").alias("task")), graph).select(F.col("run_id").alias("doc_id"), F.lit("cycle").alias("issue"), "n")
-    out = count(nodes.filter("node_id is null"), "missing_id").unionByName(twice).unionByName(count(nodes.filter("bbox is null"), "missing_bbox")).unionByName(count(order, "reading_order"))
-    return out.unionByName(count(placed.filter("at_source is null or at_target is null"), "unknown_end")).unionByName(count(named.join(ends, ["doc_id", "node_id"], "left_anti"), "orphan")).unionByName(loops)
+    each = lambda df, *names: df.select("doc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("issue"), F.col(c).alias("n")) for c in names])).alias("x")).select("doc_id", "x.issue", "x.n").filter("n > 0")
+    lost = known.filter(unknown).groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit("unknown_end").alias("issue"), "n")
+    return each(told, "missing_id", "missing_bbox", "reading_order").unionByName(each(met, "duplicate_id", "orphan")).unionByName(lost).unionByName(loops)
 
 
 def _severity(value: Column, *steps: tuple[float, str], least: str) -> Column:

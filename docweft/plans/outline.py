@@ -9,7 +9,6 @@ from docweft.operators import dag as D
 from docweft.operators import graph as G
 from docweft.operators import outline as O
 from docweft.plans.text import t
-from docweft.shared import cut
 
 #: Statement nodes: one document a customer (operators.outline.statements).
 NODES = """o AS (SELECT o_orderkey, o_custkey AS doc_id, year(o_orderdate) AS y, epoch(o_orderdate) AS secs FROM orders),
@@ -94,21 +93,21 @@ def chunk_graph(most):
 
 def graph_edges(nodes):
     """Edges of outline nodes: contains from the parent, next to the node read after."""
-    ahead = F.lead("node_id").over(Window.partitionBy("doc_id").orderBy("pos"))
-    held = nodes.filter("parent is not null").select("doc_id", F.col("parent").alias("source"), F.col("node_id").alias("target"), F.lit("contains").alias("type"))
-    return held.unionByName(nodes.select("doc_id", F.col("node_id").alias("source"), ahead.alias("target"), F.lit("next").alias("type")).filter("target is not null"))
+    ahead = nodes.select("doc_id", "node_id", "parent", F.lead("node_id").over(Window.partitionBy("doc_id").orderBy("pos")).alias("ahead"))
+    edge = lambda source, target, kind: F.when(F.col(source).isNotNull() & F.col(target).isNotNull(), F.struct(F.col(source).alias("source"), F.col(target).alias("target"), F.lit(kind).alias("type")))
+    return ahead.select("doc_id", F.explode(F.array_compact(F.array(edge("parent", "node_id", "contains"), edge("node_id", "ahead", "next")))).alias("e")).select("doc_id", "e.*")
 
 
 def graph_compare(s, d):
     """Each statement's nodes against those with continued paragraphs merged."""
-    left = cut(nodes(s, d))
-    right = cut(O.merge_pages(left))
+    left = nodes(s, d)
+    right = O.merge_pages(left)
     return G.compare(left, graph_edges(left), right, graph_edges(right))
 
 
 def layout_issues(s, d):
     """Statements whose figures have no box and refer back to the heading that contains them."""
-    each = cut(nodes(s, d)).withColumns({"reading_order": F.col("pos"), "bbox": F.when(F.col("type") != "figure", F.concat_ws(",", "page", "pos"))})
+    each = nodes(s, d).withColumns({"reading_order": F.col("pos"), "bbox": F.when(F.col("type") != "figure", F.concat_ws(",", "page", "pos"))})
     back = each.filter("type = 'figure'").select("doc_id", F.col("node_id").alias("source"), F.col("parent").alias("target"), F.lit("references").alias("type"))
     return D.layout_issues(each, graph_edges(each).unionByName(back))
 

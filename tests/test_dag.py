@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docweft import shared
 from docweft.operators import dag
+from docweft.operators.graph import compare
 
 
 def graph(spark, tasks, edges):
@@ -103,3 +104,17 @@ def test_tables_written_do_not_grow_with_the_depth(spark):
     before = len(os.listdir(shared.folder(spark)))
     assert dag.run_outlook(t, e).count() == 1 and dag.task_forecast(t, e).count() == n
     assert len(os.listdir(shared.folder(spark))) - before <= 2
+
+
+def test_graphs_dealt_by_document_are_compared_and_checked_in_place(spark):
+    nodes = spark.createDataFrame([(d, f"n{i}", f"n{i - 1}" if i % 3 else None, i, i, f"Word {i % 2}", None if i % 2 else "b") for d in range(5) for i in range(9)], "doc_id long, node_id string, parent string, pos int, reading_order int, text string, bbox string").repartition(3, "doc_id")
+    right = nodes.filter("pos < 6 or pos = 8").withColumn("parent", F.when(F.col("pos") != 1, F.col("parent")))
+    edges = lambda n, c="parent is not null": n.filter(c).select("doc_id", F.col("parent").alias("source"), F.col("node_id").alias("target"), F.lit("contains").alias("type"))
+    found = compare(nodes, edges(nodes), right, edges(right, "parent is not null and pos < 4"))
+    rows = {tuple(r) for r in found.collect()}
+    # 9 nodes and 7 of them; 6 keep their parent; 6 edges and 1 of them, from n1 to n2; n0 and n3 have neither parent nor edge.
+    assert rows == {(d, round((0.4 * (1 - 2 / 9) + 0.3 * (6 / 9) + 0.3 * (1 / 6)) * 100, 2), 100.0, 0, 2, 0, 5, 2) for d in range(5)}
+    assert found._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS") == 0
+    issues = dag.layout_issues(nodes, edges(nodes))
+    assert {tuple(r) for r in issues.collect()} == {(d, "missing_bbox", 4) for d in range(5)}
+    assert "Join" not in issues._jdf.queryExecution().executedPlan().toString()
