@@ -497,3 +497,18 @@ def test_components_of_a_hub_and_of_a_path(spark):
     assert got == {**{i: 0 for i in range(400)}, **{1000 + i: 1000 for i in range(61)}}
     more = {r["id"]: r["component"] for r in merged(found, spark.createDataFrame([(3, 1040), (5000, 4000)], "u long, v long")).collect()}
     assert more == {**{i: 0 for i in range(400)}, **{1000 + i: 0 for i in range(61)}, 5000: 4000, 4000: 4000}
+
+
+def test_substring_dedup_shuffles_texts_once(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, words), (2, words), (None, words), (3, "short"), (4, None)], "doc_id long, text string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = substrings.dedup(docs)
+        assert "ReusedExchange [doc_id" in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in found.collect()) == [("1", 40, 0), ("2", 40, 40), ("3", 1, 0), ("4", 0, 0), ("None", 40, 0)]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
