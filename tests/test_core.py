@@ -261,3 +261,14 @@ def test_a_search_is_made_once_a_query(spark, monkeypatch, name, step):
     made, whole = [], getattr(search_plans, step)
     monkeypatch.setattr(search_plans, step, lambda s, d: made.append(whole(s, d)) or made[-1])
     assert catalog.QUERIES[name](spark, DATA).count() and len(made) == 1
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_truth_is_what_contains_the_query(spark, monkeypatch, tmp_path, most):
+    monkeypatch.setattr(search, "MOST_QUERIES", most, raising=False)
+    texts = ["one two three four", "xone two three fourth", "One two three four", "one  two", "two", "a\none two three", "", None, "two three"]
+    asked = ["one two three four", "two three", "e two thr", "two", " two ", "", "  ", None, "e\nx", "one two\tthree"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(asked)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {tuple(r) for r in search_plans.truth(spark, str(tmp_path)).collect()}
+    assert got == {(q, x) for q, a in enumerate(asked) for x, b in enumerate(texts) if a is not None and b is not None and a in b}
