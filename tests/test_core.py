@@ -263,6 +263,12 @@ def test_a_search_is_made_once_a_query(spark, monkeypatch, name, step):
     assert catalog.QUERIES[name](spark, DATA).count() and len(made) == 1
 
 
+def test_contexts_are_fused_from_one_search(spark, monkeypatch):
+    made, whole = [], search_plans.bm25
+    monkeypatch.setattr(search_plans, "bm25", lambda s, d: made.append(whole(s, d)) or made[-1])
+    assert catalog.QUERIES["fuse_context"](spark, DATA).count() and len(made) == 1
+
+
 @pytest.mark.parametrize("most", [50_000, 0])
 def test_truth_is_what_contains_the_query(spark, monkeypatch, tmp_path, most):
     monkeypatch.setattr(search, "MOST_QUERIES", most, raising=False)
